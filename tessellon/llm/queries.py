@@ -8,18 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import bpe, fingerprint, packing
+from tessellon.llm import bpe, fingerprint, language_id, packing, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(4, 2)
+    model = language_id.fit(docs.filter(~out))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.read_ranks(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(_table(spark, sf_dir, "documents"), spec)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = language_id.held_out(3, 1)
+    model = toxicity.fit(docs.select("doc_id", "text").filter(~out), labels.select("doc_id", "toxic").filter(~out))
+    scored = toxicity.score(docs, model).withColumn("held_out", out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(_table(spark, sf_dir, "documents"))
 
@@ -31,8 +50,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_fingerprint": op7_fingerprint,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_exact_top_k": topk.ORACLE}
