@@ -30,6 +30,7 @@ CANDIDATES = 50_000
 FEATURES = 2048
 LONGEST = 8
 SHORTEST = 3
+OFTEN = 300
 THRESHOLD = 0.7
 
 
@@ -61,13 +62,17 @@ class Known:
         self.map[(hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text index, feature index), in order."""
+        """Distinct (text index, feature), in order. Feature k: hash k is there; k + number of hashes: it is there at least
+        twice and once in OFTEN words."""
         value, doc = word_features(texts)
+        words = np.bincount(doc, minlength=len(texts)) // (LONGEST - SHORTEST + 2) if len(doc) else np.zeros(len(texts), int)
         hit = self.map[(value >> np.uint64(44)).astype(np.int64)]
         value, doc = value[hit], doc[hit]
         k = np.minimum(np.searchsorted(self.sorted, value), max(len(self.sorted) - 1, 0))
         same = self.sorted[k] == value if len(self.sorted) else np.zeros(len(value), bool)
-        both = np.unique(doc[same] * (1 << 32) + self.order[k[same]])
+        both, n = np.unique(doc[same] * (1 << 32) + self.order[k[same]], return_counts=True)
+        often = both[(n >= 2) & (n * OFTEN >= words[both >> 32])] + len(self.sorted)
+        both = np.sort(np.concatenate([both, often]))
         return both >> 32, both & 0xFFFFFFFF
 
 
@@ -149,26 +154,34 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 part = batch.slice(s, 256)
                 doc, k = finder.find(part.column(2))
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                found = [k[at[i] : at[i + 1]].astype(np.uint16).tobytes() for i in range(part.num_rows)]
+                found = [k[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["p", "u", "k"])
 
     got = sample.mapInArrow(present, "p boolean, u boolean, k binary").collect()
     got.sort(key=lambda r: (r["p"], r["u"], bytes(r["k"])))
-    ones = [(True, np.frombuffer(r["k"], np.uint16)) for r in got if r["p"]] + [(False, np.frombuffer(r["k"], np.uint16)) for r in got if r["u"]]
+    ones = [(True, np.frombuffer(r["k"], np.uint32)) for r in got if r["p"]] + [(False, np.frombuffer(r["k"], np.uint32)) for r in got if r["u"]]
     p = np.array([x for x, _ in ones])
-    count = lambda which: np.bincount(np.concatenate([k for x, k in ones if x == which] or [np.zeros(0, int)]).astype(np.int64), minlength=len(hashes))
-    share_p, share_u = (count(True) + 0.1) / (p.sum() + 1), (count(False) + 0.5) / ((~p).sum() + 1)
-    gain = share_p * np.log(share_p / share_u)
+    count = lambda which: np.bincount(np.concatenate([k for x, k in ones if x == which] or [np.zeros(0, int)]).astype(np.int64), minlength=2 * len(hashes))
+    a, b = count(True).astype(float), count(False).astype(float)
+    n_p, n_u = p.sum(), max((~p).sum(), 1)
+    pooled = (a + b) / (n_p + n_u)
+    fit_of = lambda k, n, q: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * q, 1e-9))
+    part = lambda k, n: fit_of(k, n, pooled) + fit_of(n - k, n, 1 - pooled)
+    gain = np.where(a * n_u > b * n_p, 2 * (part(a, n_p) + part(b, n_u)), 0)  # likelihood ratio of two shares against one
     chosen = np.argsort(-gain, kind="stable")[: min(features, len(gain))]
-    chosen = chosen[gain[chosen] > 0]
-    place = np.full(len(hashes), -1)
+    sure = gain[chosen] >= 2 * np.log(2 * len(hashes)) + 4  # beyond what chance gives among so many
+    chosen = chosen[sure] if sure.any() else chosen[:16]
+    place = np.full(2 * len(hashes), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(ones), len(chosen)), np.float32)
     for i, (_, k) in enumerate(ones):
         j = place[k]
         x[i, j[j >= 0]] = 1
     w, b = train(x, p, prior)
-    return Model(hashes[chosen], w, b)
+    both = np.zeros(2 * len(hashes))
+    both[chosen] = w
+    used = np.unique(chosen % len(hashes))
+    return Model(hashes[used], np.concatenate([both[used], both[used + len(hashes)]]), b)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
