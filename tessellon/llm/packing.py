@@ -31,11 +31,19 @@ from tessellon.llm.scratch import materialize
 CAPACITY = 2048
 SALTS = 128
 #: Entries that a worker keeps of encoded words; beyond it they are encoded again.
-CACHE = 500_000
+CACHE = 900_000
 #: Texts of these characters only are encoded word by word: there, no rule of the tokenizer crosses white space,
 #: and normalisation and lower case are the same in Python and in the tokenizer.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ž]*")
-_KNOWN: dict[str, tuple] = {}
+_PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
+_KNOWN: dict[str, WordEncoder] = {}
+
+
+def plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return _PLAIN.fullmatch(text) is not None
 
 
 class WordEncoder:
@@ -46,23 +54,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = dict(zip(",.;:!?", self._whole(list(",.;:!?")), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Letters, with one mark after them or none, are letters' ids and the mark's: letters and marks never share a token."""
+        split, other = {}, []
+        for w in words:
+            mark = w[-1]
+            bare = w[:-1] if mark in self.marks else w
+            if bare.isalpha():
+                split[w] = (bare.lower(), self.marks.get(mark, b""))
+            else:
+                other.append(w)
+        new = [x for x in {b for b, _ in split.values()} if x not in self.letters]
+        ids = dict(zip(new, self._whole(new), strict=True))
+        out = {w: (ids[b] if b in ids else self.letters[b]) + m for w, (b, m) in split.items()}
+        if len(self.letters) < CACHE // 2:
+            self.letters.update(ids)
+        out.update(zip(other, self._whole(other), strict=True))
+        return out
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if "<|" in text or not plain(text):
             return self._whole([text])[0]
-        words, known = text.split(), self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            new = dict(zip(missing, self._whole(missing), strict=True))
-            if len(known) + len(new) <= CACHE:
+        words, known, new = text.split(), self.known, {}
+        if missing := set(words).difference(known):
+            new = self._words(missing)
+            if len(known) < CACHE:
                 known.update(new)
-            else:
-                known = {w: new.get(w) or known.get(w, b"") for w in dict.fromkeys(words)}
-        return b"".join(map(known.__getitem__, words))
+                new = {}
+        return b"".join([known[w] if w in known else new[w] for w in words] if new else map(known.__getitem__, words))
 
 
 def encoder(spec: bytes) -> WordEncoder:
