@@ -15,14 +15,15 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of encoded chunks, pieces and pairs; beyond it they are computed again.
-CACHE = 300_000
+#: Entries that a worker keeps of encoded chunks (twice as many pairs); beyond it they are computed again.
+CACHE = 800_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -40,10 +41,14 @@ class PrefixBPE:
         self.token = {r: t for t, r in self.rank.items()}
         self.raw = {r: r.to_bytes(4, "little") for r in self.token}
         self.longest = max(map(len, self.rank))
+        self.matcher = ahocorasick.Automaton()
+        for t, r in self.rank.items():
+            self.matcher.add_word(t.decode("latin-1"), (len(t), r))
+        self.matcher.make_automaton()
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -65,24 +70,44 @@ class PrefixBPE:
     def may_follow(self, p: int, t: int) -> bool:
         key = p << 32 | t
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merge(self.token[p] + self.token[t]) == [p, t]
         return ok
 
     def fill(self, data: bytes, last: list[int], to: int | None = None) -> list[int]:
         """Extend last, where last[j] is the last token of data[:j] and last[0] is -1, to all prefixes of data."""
-        rank, longest = self.rank, self.longest
+        rank, longest, pairs = self.rank.get, self.longest, self.pairs.get
         for j in range(len(last), (len(data) if to is None else to) + 1):
             for i in range(max(0, j - longest), j):
-                t = rank.get(data[i:j])
-                if t is not None and self.stands_alone(t) and (i == 0 or self.may_follow(last[i], t)):
+                t = rank(data[i:j])
+                if t is None:
+                    continue
+                if i == 0:
+                    ok = self.stands_alone(t)
+                elif (ok := pairs(last[i] << 32 | t)) is None:  # what may follow also stands alone
+                    ok = self.may_follow(last[i], t)
+                if ok:
                     last.append(t)
                     break
             else:
                 raise ValueError("the ranks don't hold every single byte")
         return last
 
+    def table(self, data: bytes) -> list[int]:
+        """fill(data, [-1]); the automaton finds all tokens that end at each prefix, the longest first."""
+        last, pairs = [-1] * (len(data) + 1), self.pairs.get
+        for end, (n, t) in self.matcher.iter(data.decode("latin-1")):
+            end += 1
+            if last[end] < 0:
+                if n == end:
+                    ok = self.stands_alone(t)
+                elif (ok := pairs(last[end - n] << 32 | t)) is None:
+                    ok = self.may_follow(last[end - n], t)
+                if ok:
+                    last[end] = t
+        return last
+
     def read(self, last: list[int], end: int | None = None) -> list[int]:
         """The ids of the prefix of length end."""
         j, ids = len(last) - 1 if end is None else end, []
@@ -113,30 +138,43 @@ class PrefixBPE:
 
     def piece(self, piece: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers, of one match of the pattern."""
-        if (out := self.pieces.get(piece)) is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            whole = self.rank.get(data)
-            out = self.raw[whole] if whole is not None else b"".join(map(self.raw.__getitem__, self.read(self.fill(data, [-1]))))
-            if len(self.pieces) < CACHE and len(piece) < 40:
-                self.pieces[piece] = out
-        return out
+        data = piece.encode("utf-8", "surrogatepass")
+        whole = self.rank.get(data)
+        return self.raw[whole] if whole is not None else b"".join(map(self.raw.__getitem__, self.read(self.table(data))))
 
-    def chunk(self, chunk: str) -> bytes:
-        if (out := self.chunks.get(chunk)) is None:
-            out = b"".join(map(self.piece, self.split(chunk)))
-            if len(self.chunks) < CACHE and len(chunk) < 40:
-                self.chunks[chunk] = out
+    def mark(self, mark: str) -> bytes:
+        if (out := self.marks.get(mark)) is None:
+            out = self.marks[mark] = self.piece(mark)
         return out
 
+    def matches(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
+
+    def after_blank(self, x: str) -> bytes:
+        """The ids of " " + x. Letters, with one mark after them or none, are one match, and the mark is another."""
+        bare, mark = (x[:-1], x[-1]) if x and x[-1] in ",.;:!?" else (x, "")
+        if bare.isalpha() and max(bare) < "\u0180":
+            ids = self.chunks.get(bare) if mark else None
+            return (self.piece(" " + bare) if ids is None else ids) + (self.mark(mark) if mark else b"")
+        return self.matches(" " + x)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text. A blank after a non-blank starts a new match of the pattern, so texts without two blanks
-        in a row are cut there, and chunks met before are looked up; others are matched as a whole."""
+        in a row are cut there, and chunks met before are looked up (by what follows the blank); others are matched as a
+        whole."""
         if not text:
             return b""
         if "  " in text:
-            return b"".join(map(self.piece, self.split(text)))
+            return self.matches(text)
         head, *rest = text.split(" ")
-        return b"".join(map(self.chunk, [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]))
+        known, new = self.chunks, {}
+        if missing := set(rest).difference(known):
+            new = {x: self.after_blank(x) for x in missing}
+            if len(known) < CACHE:
+                known.update(new)
+                new = {}
+        out = [known[x] if x in known else new[x] for x in rest] if new else map(known.__getitem__, rest)
+        return (self.matches(head) if head else b"") + b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -31,6 +31,8 @@ def test_random_texts(codec, library):
         s = "".join(rnd.choice(" \n\t\r  abcdeE'sté漢🙂ß09.,!-\x00") for _ in range(rnd.randint(0, 40)))
         assert codec.encode(s) == library(s)
         assert codec.decode(codec.encode(s)) == s.encode()
+        s = " ".join(rnd.choice(["Wörter", "tion,", "'s.", "a1!", "é?", "x", "", "thing."]) for _ in range(20))
+        assert codec.encode(s) == library(s)
 
 
 def test_appends_and_edits(codec):
@@ -38,6 +40,7 @@ def test_appends_and_edits(codec):
     for _ in range(200):
         data = "".join(rnd.choice("abcdet") for _ in range(rnd.randint(100, 600))).encode()
         last = codec.fill(data, [-1])
+        assert last == codec.table(data)
         more, table_ = codec.append(data, list(last), b"ther")
         assert table_ == codec.fill(more, [-1])
         i = rnd.randrange(len(data))
