@@ -27,15 +27,15 @@ from tessellon.llm.scratch import materialize
 
 MIN_WORDS = 50
 _LEAST = -(2**63)
-DOC = ["_d", "_h"]
+DOC = ["__d", "__h"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))).withColumn("_h", F.xxhash64(text_col))
+    return docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))).withColumn("__h", F.xxhash64(text_col))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_d, _h, n, words, l1, l2): the lines of every text, by number, word count and 128-bit id."""
+    """(__d, __h, n, words, l1, l2): the lines of every text, by number, word count and 128-bit id."""
     rows = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text").filter(F.col("_text").isNotNull())
     lines = rows.select(*DOC, F.posexplode(F.split("_text", "\n")).alias("n", "line"))
     return lines.select(*DOC, "n", F.regexp_count("line", F.lit(r"\S+")).alias("words"), F.xxhash64("line").alias("l1"), F.xxhash64("line", F.lit(1)).alias("l2"))
@@ -48,7 +48,7 @@ def ordered_ranks(keys: DataFrame, columns: list[str], name: str = "r") -> DataF
 
 
 def repeated(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_d, _h, seg, n, before, after, left, r): positions of lines that occur elsewhere too, in segments of consecutive ones.
+    """(__d, __h, seg, n, before, after, left, r): positions of lines that occur elsewhere too, in segments of consecutive ones.
 
     before, after: words of the segment up to the line, without and with it; left: words from it on; r: rank of its line.
     """
@@ -64,7 +64,7 @@ def repeated(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def windows(at: DataFrame, min_words: int) -> DataFrame:
-    """(_d, _h, start, m): from every position the fewest lines of min_words words, forwards and backwards."""
+    """(__d, __h, start, m): from every position the fewest lines of min_words words, forwards and backwards."""
     part = Window.partitionBy(*DOC, "seg").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("q.mark") == 1, F.col("n")), ignorenulls=True)
     ends = F.max("n").over(Window.partitionBy(*DOC, "seg"))
@@ -89,7 +89,7 @@ def doubled(ranks: DataFrame, k: int) -> DataFrame:
 
 
 def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_d, _h, n): the lines that go. lines: a stored line_table()."""
+    """(__d, __h, n): the lines that go. lines: a stored line_table()."""
     at = materialize(repeated(lines, min_words), "repeated")
     wanted = materialize(windows(at, min_words), "windows")
     longest = wanted.agg(F.max("m")).first()[0] or 0
@@ -115,18 +115,18 @@ def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the later copies deleted from the text, and _n_lines and _n_removed (long)."""
+    """docs with the later copies deleted from the text, and __n_lines and __n_removed (long)."""
     lines = materialize(line_table(docs, id_col, text_col), "lines")
     gone = materialize(deletions(lines, min_words), "gone")
     marked = lines.join(gone.select(*DOC).distinct(), DOC, "left_semi").select(*DOC, "n").join(gone.withColumn("gone", F.lit(True)), [*DOC, "n"], "left")
-    flags = marked.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("n", F.col("gone").isNull().alias("keep")))).alias("_flags"))
+    flags = marked.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("n", F.col("gone").isNull().alias("keep")))).alias("__flags"))
     both = _keyed(docs, id_col, text_col).join(flags, DOC, "left")
-    kept = F.array_compact(F.zip_with(F.split(text_col, "\n"), "_flags", lambda line, f: F.when(f["keep"], line)))
-    text = F.when(F.col("_flags").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.array_compact(F.zip_with(F.split(text_col, "\n"), "__flags", lambda line, f: F.when(f["keep"], line)))
+    text = F.when(F.col("__flags").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    removed = F.coalesce(F.size(F.filter("_flags", lambda f: ~f["keep"])), F.lit(0))
-    removed = F.when(F.col("_flags").isNull(), F.lit(0)).otherwise(removed)
-    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n.cast("long").alias("_n_lines"), removed.cast("long").alias("_n_removed"))
+    removed = F.coalesce(F.size(F.filter("__flags", lambda f: ~f["keep"])), F.lit(0))
+    removed = F.when(F.col("__flags").isNull(), F.lit(0)).otherwise(removed)
+    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n.cast("long").alias("__n_lines"), removed.cast("long").alias("__n_removed"))
 
 
 ORACLE_CTES = """

@@ -58,7 +58,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

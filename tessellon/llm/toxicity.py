@@ -185,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score) of every document; with keep all columns of docs and _score. No shuffle."""
+    """(id, score) of every document; with keep all columns of docs and __toxic_score. No shuffle."""
     small = docs if keep else docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     text = text_col if keep else "_text"
     names = docs.columns if keep else [id_col]
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([small.schema[c] for c in names]).add("_score" if keep else "score", DoubleType())
+    schema = StructType([small.schema[c] for c in names]).add("__toxic_score" if keep else "score", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,4 +80,4 @@ def test_awkward_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(docs, labels.limit(0))).agg({"score": "max"}).first()[0] < 0.01
     assert toxicity.score(df, toxicity.fit(docs.limit(0), labels)).count() == 6
     kept = toxicity.score(df, model, keep=True)
-    assert kept.columns == [*df.columns, "_score"]
+    assert kept.columns == [*df.columns, "__toxic_score"]
