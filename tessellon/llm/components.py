@@ -11,7 +11,7 @@ from tessellon.llm.scratch import materialize
 def _star(pairs: DataFrame) -> DataFrame:
     """(v, least) for every pair (u, v), least being the smallest of u and what u meets."""
     least = pairs.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
-    return pairs.join(least, "u")
+    return pairs.join(materialize(least, "least"), "u")  # stored, so that the join can split a hub's rows
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

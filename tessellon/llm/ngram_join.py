@@ -12,10 +12,12 @@ signatures to shuffle plus expected chance pairs, from the sizes of all document
 empty subsets, which unrelated small sets share: a set leaves them out unless more than E allocation lies in segments that are
 empty or nearly so in it; then only pairs in which both do so can need them, and both keep them.
 
-Candidates are narrowed by a 512-bit parity map (its Hamming distance is at most the sets' difference) and verified on
-the whole sets of 64-bit shingle hashes. Links are explored by components, never by all pairs of a group:
-equal sets count as one; each set is tried against the smallest one of a signature, which links most copies; then only
-pairs from different components that share a signature are tried, which is every pair that can still join two.
+Signatures are made twice: first without ids, to find those that different sets share, then with ids, but only of those, told
+by a bitmap of bounded size (where it fills up, more rows are shuffled, no fewer results come). Candidates are narrowed by
+a 512-bit parity map (its Hamming distance is at most the sets' difference) and verified on the whole sets of 64-bit
+shingle hashes. Links are explored by components, never by all pairs of a group: equal sets count as one; in some rounds,
+each set is tried against a set of the first component of a signature, which links most copies; then all pairs from
+different components that share a signature are tried, which is every pair that can still join two.
 
 Defined results: null texts, empty texts and texts without words have no shingles and are linked with nothing; fewer
 than k words are one shingle; rows that repeat an id are one document with the links of all its texts; rows with a
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.llm import kernels
@@ -66,24 +68,24 @@ class Band:
         return self.apart + 1 + self.surplus - self.two
 
 
-def bands(largest: int, percent: int) -> list[Band]:
-    """Bands of sizes: each about three times as wide, in ratio, as linked sizes can lie apart."""
+def bands(largest: int, percent: int, width: float = 3) -> list[Band]:
+    """Bands of sizes: each about `width` times as wide, in ratio, as linked sizes can lie apart."""
     out, low = [], 1
     while low <= largest:
-        high = max(low, int(low * (100 / percent) ** 3) - 1)
+        high = max(low, int(low * (100 / percent) ** width) - 1)
         top = high * 100 // percent
         out.append(Band(low, high, top, most_apart(high + top, percent)))
         low = high + 1
     return out
 
 
-def allocate(band: Band, sizes: dict[int, int]) -> Band:
-    """The cheapest allocation for the given number of sets of each size."""
+def allocate(band: Band, sizes: dict[int, int]) -> tuple[float, Band]:
+    """(cost, band) with the cheapest allocation for the given number of sets of each size."""
     n = sum(sizes.values())
     mean = sum(s * c for s, c in sizes.items()) / n if n else band.low
     best = None
-    for two in {0, 1, 2, (band.apart + 1) // 4, (band.apart + 1) // 2}:
-        for surplus in (0, 1, 2, 3, 4, 6, 8):
+    for two in sorted({0, 1, 2, (band.apart + 1) // 4, (band.apart + 1) // 2}):
+        for surplus in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96):
             b = Band(band.low, band.high, band.top, band.apart, two, surplus)
             m = b.segments
             if 2 * two > band.apart + 1 + surplus or m < 1:
@@ -95,7 +97,16 @@ def allocate(band: Band, sizes: dict[int, int]) -> Band:
             cost = n * (m + two * mean / m) + PAIR_COST * max(tail, 0) ** 2 * n * n / 2
             if best is None or cost < best[0]:
                 best = (cost, b)
-    return best[1]
+    return best
+
+
+def planned(sizes: dict[int, int], percent: int) -> list[Band]:
+    """The cheapest bands for a histogram of set sizes."""
+    plans = []
+    for width in (1, 1.5, 2, 3):
+        plan = [allocate(b, {s: c for s, c in sizes.items() if b.low <= s <= b.top}) for b in bands(max(sizes, default=0), percent, width)]
+        plans.append((sum(c for c, _ in plan), [b for _, b in plan]))
+    return min(plans, key=lambda p: p[0])[1]
 
 
 class Signer:
@@ -184,41 +195,81 @@ def summaries(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
     return small.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _starred(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Before the shuffle: of equal signatures only the smallest id goes on, the others become pairs with it."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    head = np.ones(len(sig), bool)
-    head[1:] = sig[1:] != sig[:-1]
-    lead = ids[head][np.cumsum(head) - 1] if len(sig) else ids
-    pair = np.flatnonzero(lead != ids)
-    pairs = np.stack([ids[pair], lead[pair]], 1)
-    pairs, votes = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs.reshape(0, 2), np.zeros(0, int))
-    keys = kernels.mix(pairs[:, 0].astype(np.uint64) * np.uint64(31) + kernels.mix(pairs[:, 1].astype(np.uint64)))
-    h = int(head.sum())
-    mask = np.concatenate([np.ones(h, bool), np.zeros(len(pairs), bool)])
-    other = pa.array(np.concatenate([np.zeros(h, np.int64), pairs[:, 1]]), mask=mask)
-    votes = pa.array(np.concatenate([np.ones(h, np.int64), votes]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[head], keys]).view(np.int64)), pa.array(np.concatenate([ids[head], pairs[:, 0]])), other, votes], names=["sig", "id", "other", "votes"])
-
-
-def star_pairs(docs: DataFrame, signer: Signer, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rep, votes): every set with the smallest one of each of its signatures; one shuffle of (signature, id)."""
+#: A bitmap has at most 2**BITS bits.
+BITS = 26
+
+
+class Bitmap:
+    """Which 64-bit keys may be in a set: no false negatives, and as few positives as bounded size allows."""
+
+    def __init__(self, keys: DataFrame, column: str, scatter: bool):
+        self.scatter = scatter
+        keys = keys.select(F.col(column).alias("k"))
+        self.bits = bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
+        place = self.place
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(1 << bits, bool)
+            for batch in batches:
+                own[place(batch.column(0).to_numpy())] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["m"])
+
+        self.map = np.zeros(1 << bits, bool)
+        for row in keys.coalesce(8).mapInArrow(run, "m binary").collect():
+            self.map |= np.unpackbits(np.frombuffer(row["m"], np.uint8)).astype(bool)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.uint64)
+        return ((kernels.mix(keys) if self.scatter else keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        return self.map[self.place(keys)]
+
+
+def shared_signatures(docs: DataFrame, signer: Signer, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(sig): the signatures of two different sets at least. The shuffle carries a signature and a set's hash."""
+    small = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for s in range(0, batch.num_rows, ROWS):
+                value, bounds = token_sets(batch.column(0)[s : s + ROWS], k)
+                sig, doc = signer.sign(value, bounds)
+                sigs.append(sig)
+                sets.append(_sums(kernels.mix(value + np.uint64(5)), bounds)[doc])
+            sig, own = np.concatenate(sigs), np.concatenate(sets)
+            order = np.argsort(sig)
+            sig, own = sig[order], own[order]
+            keep = np.ones(len(sig), bool)  # of a signature's sets, a batch sends on one, or two different ones
+            keep[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+            run_of = np.cumsum(np.concatenate([np.zeros(1, np.int64), sig[1:] != sig[:-1]])[: len(sig)])
+            start = np.searchsorted(run_of, np.arange(run_of[-1] + 1)) if len(sig) else np.zeros(0, np.int64)
+            first = own[start][run_of] if len(sig) else own
+            other = keep & (own != first)
+            lead = np.zeros(len(sig), bool)
+            lead[start] = True
+            _, second = np.unique(run_of[other], return_index=True)
+            lead[np.flatnonzero(other)[second]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(sig[lead].view(np.int64)), pa.array(own[lead].view(np.int64))], names=["sig", "own"])
+
+    raw = small.mapInArrow(run, "sig long, own long")
+    return raw.groupBy("sig").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("sig")
+
+
+def members(docs: DataFrame, signer: Signer, some: Bitmap, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(sig, id) of every set and its signatures that may be in the bitmap."""
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in range(0, batch.num_rows, ROWS):
                 part = batch.slice(s, ROWS)
                 sig, doc = signer.sign(*token_sets(part.column(1), k))
-                sigs.append(sig)
-                owners.append(part.column(0).to_numpy()[doc])
-            yield _starred(np.concatenate(sigs), np.concatenate(owners))
+                hit = some.may_have(sig)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), part.column(0).take(pa.array(doc[hit]))], names=["sig", "id"])
 
-    raw = small.mapInArrow(run, "sig long, id long, other long, votes long")
-    rep = F.coalesce("other", F.min("id").over(Window.partitionBy("sig")))
-    return raw.select("id", rep.alias("rep"), "votes").filter("rep <> id").groupBy("id", "rep").agg(F.sum("votes").alias("votes"))
+    return small.mapInArrow(run, "sig long, id long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -229,8 +280,24 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (apart <= room) & (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= room)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs (u, v) that link. sets: id, tokens (sorted hashes)."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v) of the stored pairs (u, v) that link. Only the sets of their documents are shuffled."""
+    wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "wanted")
+    some = Bitmap(wanted, "id", True)
+    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(some.may_have(ids)))
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
+                value, bounds = token_sets(part.column(1), k)
+                own = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "tokens"])
+
+    sets = small.mapInArrow(tokens, "id long, tokens binary").filter("length(tokens) > 0").join(wanted, "id", "left_semi")
+    sets = materialize(sets, "tokens")
     both = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("tu")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,76 +313,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens) of the wanted ids."""
-    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, ROWS):
-                part = batch.slice(s, ROWS)
-                value, bounds = token_sets(part.column(1), k)
-                tokens = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["id", "tokens"])
-
-    return small.mapInArrow(run, "id long, tokens binary").filter("length(tokens) > 0")
-
-
-def _signed(sets: DataFrame, signer: Signer) -> DataFrame:
-    """(sig, id, component) of sets: id, tokens, component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, ROWS):
-                part = batch.slice(s, ROWS)
-                arrays = [np.frombuffer(t.as_py(), np.uint64) for t in part.column(1)]
-                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(a) for a in arrays])])
-                sig, doc = signer.sign(np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(doc)), part.column(2).take(pa.array(doc))], names=["sig", "id", "component"])
-
-    return sets.select("id", "tokens", "component").mapInArrow(run, "sig long, id long, component long")
+#: Rounds that try one partner of each set, before all pairs of components are tried.
+ROUNDS = 3
 
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
+    where = (k, percent, id_col, text_col)
     info = materialize(summaries(docs, k, id_col, text_col), "sets")
     key = ["n", "s1", "s2"]
     some = info.filter("n > 0 AND id IS NOT NULL")
     classes = some.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last"), *(F.first(c).alias(c) for c in MAPS))
     classes = materialize(classes, "classes")
     sizes = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}
-    signer = Signer([allocate(b, {s: c for s, c in sizes.items() if b.low <= s <= b.top}) for b in bands(max(sizes, default=0), percent)])
+    signer = Signer(planned(sizes, percent))
+    shared = materialize(shared_signatures(docs, signer, k, id_col, text_col), "shared")
 
     # An id stands for its set; ids of equal sets give way to the smallest.
-    same = some.join(classes.filter("rep < last").select(*key, "rep"), key).filter("id > rep").select("id", "rep")
-    stars = materialize(star_pairs(docs, signer, k, id_col, text_col), "stars")
-    to_class = lambda df, c: df.join(same.select(F.col("id").alias(c), F.col("rep").alias("_rep")), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
-    pairs = to_class(to_class(stars, "id"), "rep").filter("id <> rep")
-    pairs = pairs.groupBy(F.greatest("id", "rep").alias("u"), F.least("id", "rep").alias("v")).agg(F.sum("votes").alias("votes"))
-    pairs = materialize(pairs, "candidates")
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = materialize(_sets(docs, wanted, k, id_col, text_col), "tokens")
-
+    copies = some.join(classes.filter("rep < last").select(*key, "rep"), key).filter("id > rep").select("id").distinct()
+    member = members(docs, signer, Bitmap(shared, "sig", False), k, id_col, text_col).join(copies, "id", "left_anti")
+    member = materialize(member.join(shared, "sig").distinct(), "members")
     maps = classes.select(F.col("rep").alias("id"), "n", *MAPS)
-    near = pairs.join(maps.alias("a"), F.col("u") == F.col("a.id")).join(maps.alias("b"), F.col("v") == F.col("b.id")).filter(_may_link("a", "b", percent))
-    best = near.groupBy("u").agg(F.max_by("v", F.struct("votes", -F.col("v"))).alias("v"))
-    first = materialize(verified(best, sets, percent), "links")
+
     twice = some.select("id", *key).distinct().groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
-    again = some.join(twice, "id", "left_semi").join(classes.select(*key, "rep"), key).select(F.col("id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
-    edges = first.union(again)
-    now = materialize(components(edges), "components")
-
-    labelled = sets.join(now.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    signed = _signed(labelled, signer)
-    mixed = signed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    rows = materialize(signed.join(mixed, "sig"), "mixed").join(maps, "id")
+    again = some.join(twice, "id", "left_semi").join(classes.select(*key, "rep"), key).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    edges = materialize(again.filter("u <> v").distinct(), "links")
+    now, tried = components(edges), None
+
+    def labelled() -> DataFrame:
+        """(sig, id, component) of signatures that different components share."""
+        all_ = member.join(now.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        all_ = materialize(all_, "labelled")
+        spread = all_.groupBy("sig").agg(F.min(F.struct("component", "id")).alias("lead"), F.max("component").alias("high")).filter("lead.component < high")
+        return all_.join(materialize(spread.select("sig", "lead"), "leads"), "sig")
+
+    for _ in range(ROUNDS):
+        far = labelled().filter("component <> lead.component").select(F.greatest("id", "lead.id").alias("u"), F.least("id", "lead.id").alias("v"), F.col("id").alias("of"))
+        pairs = materialize(far.groupBy("u", "v", "of").agg(F.count("*").alias("votes")), "candidates")
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        near = pairs.join(maps.alias("a"), F.col("u") == F.col("a.id")).join(maps.alias("b"), F.col("v") == F.col("b.id")).filter(_may_link("a", "b", percent))
+        best = near.groupBy("of").agg(F.max(F.struct("votes", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+        best = materialize(best, "pairs")
+        links = materialize(verified(best, docs, *where), "links")
+        tried = best if tried is None else tried.union(best)
+        if links.isEmpty():
+            break
+        edges = edges.union(links)
+        now = components(edges)
+
+    rows = labelled().select("sig", "id", "component").join(maps, "id")
+    every = rows.groupBy("id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
+    rows = materialize(rows.join(every, "id"), "mixed")
     a, b = rows.alias("a"), rows.alias("b")
-    cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent))
-    cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    second = verified(materialize(cross, "cross"), sets, percent)
-    final = materialize(components(edges.union(second)), "components")
+    once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")  # a pair comes from the first signature it shares
+    cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent) & once)
+    cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+    if tried is not None:
+        cross = cross.join(tried, ["u", "v"], "left_anti")
+    links = verified(materialize(cross, "cross"), docs, *where)
+    final = components(edges.union(materialize(links, "links")))
 
     labels = classes.select(*key, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = info.select("id", *key).join(labels, key, "left")
+    out = info.select("id", *key).join(materialize(labels, "labels"), key, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))

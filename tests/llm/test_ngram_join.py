@@ -62,7 +62,7 @@ def test_planted_copies(spark, k, percent):
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(3)
     for percent in (80, 90):
-        plan = [ngram_join.allocate(b, {b.low: n, b.high: n}) for b in ngram_join.bands(900, percent) for n in [int(rng.choice([3, 1000, 10**6]))]]
+        plan = [ngram_join.allocate(b, {b.low: n, b.high: n})[1] for b in ngram_join.bands(900, percent) for n in [int(rng.choice([3, 1000, 10**6]))]]
         signer = ngram_join.Signer(plan)
         for _ in range(400):
             n = int(rng.integers(1, 700))
