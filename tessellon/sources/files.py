@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,11 @@ def read(spark: SparkSession, path: str, recursive: bool = True, glob: str | Non
     return r.load(path).select("path", "length", "content")
 
 
+def literal(path: str) -> str:
+    """A path of the driver's as Spark reads it, where brackets and the like stand for themselves."""
+    return ("file://" if path.startswith("/") else "") + re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def with_empty(contents: DataFrame, files: DataFrame) -> DataFrame:
     """Rows for the listed files that reading left out, with no bytes."""
     plain = contents.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
