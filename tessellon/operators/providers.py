@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import values
 from tessellon.operators import containers as C
+from tessellon.operators import subtitles
 
 # Units, stream types and enumerations as the reports write them.
 NONE, BYTES, SECONDS, HERTZ, BITRATE = "Dimensionsless", "bytes", "s", "s^-1", "bit/s"
@@ -200,6 +201,8 @@ def _track(root: Node, segment: C.Tree, t: C.Tree, samples: list, seen: dict[str
     kind = STREAMS.get(t.get("TrackType", 0), "MediaStream")
     node = root.child(kind, t.get("TrackUId", 0))
     private = t.get("CodecPrivate")
+    if not samples and private and t.get("CodecId") in ("S_TEXT/ASS", "S_TEXT/SSA"):
+        samples = [(time, 1, 0) for time in subtitles.script_times(private)]
     numbers = track_numbers(samples, len(private or b""))
     stated = t.get("DefaultDuration")
     if kind == "VideoStream" and (v := t.one("Video")):
@@ -437,6 +440,25 @@ def digest_items(long: DataFrame, rank: int = 5) -> DataFrame:
     return long.select("path", F.lit("HashProvider").alias("provider"), F.lit(rank).alias("provider_rank"), F.lit("HashProvider").alias("root_type"), F.lit("/HashProvider").alias("node"), F.monotonically_increasing_id().alias("ord"), F.col("name").alias("key"), F.lit("Binary").alias("type"), F.lit(NONE).alias("unit"), F.hex("digest").alias("text"), F.lit(None).cast("array<string>").alias("parts"))
 
 
+# Identifiers of formats and the kind of stream they make.
+_IDENTIFIERS = {
+    "srt": "text/srt", "ssa": "text/ssa", "ass": "text/ass", "idx": "text/idx", "smi": "text/sami", "7z": "compression/7z", "zip": "compression/zip", "rar": "compression/rar", "lrc": "text/lyric", "tmp": "text/TMPlayer",
+    "pjs": "text/PhoenixJapanimationSociety", "vtt": "text/vtt", "js": "text/JS", "rt": "text/RT", "smil": "SMIL", "tts": "text/TTS", "xss": "text/XombieSub", "zeg": "text/ZeroG", "sup": "text/SubtitleBitmapFile", "fsb": "text/FanSubber", "s2k": "text/Sasami2k",
+}
+_ARCHIVES, _MEDIA = ("7z", "zip", "rar"), ("smil",)
+
+
 def format_items(detected: DataFrame, rank: int = 3) -> DataFrame:
-    """Items of formats.detect(): (path, suggested_ext)."""
-    return detected.filter("suggested_ext IS NOT NULL").select("path", F.lit("FormatInfoProvider").alias("provider"), F.lit(rank).alias("provider_rank"), F.lit("MediaProvider").alias("root_type"), F.lit("/MediaProvider").alias("node"), F.lit(0).cast("long").alias("ord"), F.lit("SuggestedFileExtension").alias("key"), F.lit("ImmutableArray`1").alias("type"), F.lit(NONE).alias("unit"), F.lit(None).cast("string").alias("text"), F.array("suggested_ext").alias("parts"))
+    """Items of formats.detect(): (path, suggested_ext): the extension; for a sure format also its identifier, of archives at the
+    root, of others in a stream of its own."""
+    one = F.col("suggested_ext")
+    name = F.coalesce(*[F.when(one == k, F.lit(v)) for k, v in _IDENTIFIERS.items()])
+    stream = F.when(one.isin(*_MEDIA), "/MediaProvider/MediaStream:0").otherwise("/MediaProvider/SubtitleStream:0")
+    none = F.lit(None).cast("string")
+    row = lambda i, node, key, kind, text, parts: F.struct(F.lit(i).cast("long").alias("ord"), node.alias("node"), F.lit(key).alias("key"), F.lit(kind).alias("type"), text.alias("text"), parts.alias("parts"))
+    root, empty = F.lit("/MediaProvider"), F.lit(None).cast("array<string>")
+    first = row(0, root, "SuggestedFileExtension", "ImmutableArray`1", none, F.array(one))
+    archive = F.when(one.isin(*_ARCHIVES), row(1, root, "FileTypeIdentifier", "String", name, empty))
+    other = F.when(~one.isin(*_ARCHIVES) & name.isNotNull(), row(1, stream, "ContainerCodecId", "String", name, empty))
+    rows = F.explode(F.array_compact(F.array(first, archive, other))).alias("r")
+    return detected.filter(one.isNotNull()).select("path", rows).select("path", F.lit("FormatInfoProvider").alias("provider"), F.lit(rank).alias("provider_rank"), F.lit("MediaProvider").alias("root_type"), "r.node", "r.ord", "r.key", "r.type", F.lit(NONE).alias("unit"), "r.text", "r.parts")

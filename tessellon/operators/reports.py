@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -136,5 +137,11 @@ def _each(make: Callable[[bytes], str]) -> Callable[[DataFrame], DataFrame]:
     return report
 
 
+def error_report(kind: str, thrown_on: str, message: str, data: dict[str, tuple[str, bool]], session: str, personal: bool = False, cause: str | None = None) -> str:
+    """An error as XML. data: name to (value, whether it is personal); personal values are hashed with the session's salt."""
+    shown = [(k, {}, v if personal or not own else f"Hidden({hashlib.sha512((session + v).encode()).hexdigest().upper()})") for k, (v, own) in data.items()]
+    return values.xml((kind, {"thrownOn": thrown_on}, [("Message", {}, message), ("Data", {}, shown), ("Cause", {}, cause or "")]))
+
+
 #: Reports from bytes alone, by name.
 STRUCTURES = {"Matroska": _each(structure), "MediaInfoXml": _each(lambda _: values.xml(("File", {}, "")))}

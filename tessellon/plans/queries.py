@@ -299,3 +299,36 @@ def _subtitles() -> Column:
 def _(spark, sf_dir):
     made = table(spark, sf_dir, "events").select("event_id", _subtitles().alias("content"))
     return formats.detect(made, "content", keep=["event_id"]).select("event_id", "suggested_ext")
+
+
+def _parsed(kind: str) -> Query:
+    """Items of a small file of a kind, through the same parser as real ones."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessellon.operators import providers
+        from tessellon.sources import samples
+
+        made = spark.createDataFrame([(f"sample.{kind}", bytearray(getattr(samples, kind)()))], "path string, content binary")
+        return providers.items(made).select("path", "provider", "node", "ord", "key", "type", "unit", "text", F.array_join("parts", "|").alias("parts"))
+
+    return run
+
+
+for _k in ("mkv", "mp4", "ogg"):
+    QUERIES[f"{_k}_parse"] = _parsed(_k)
+
+
+@query("report_structure")
+def _(spark, sf_dir):
+    from tessellon.operators import reports
+    from tessellon.sources import samples
+
+    made = spark.createDataFrame([("sample.mkv", bytearray(samples.mkv())), ("other", bytearray(b"abc"))], "path string, content binary")
+    return reports.STRUCTURES["Matroska"](made)
+
+
+@query("throughput_average")
+def _(spark, sf_dir):
+    """Exponential averages of bytes by user over the order of events."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", F.length("props").alias("n"), F.lit(60.0).alias("s"))
+    return stats.averages(rows, ["user_id"], ["ts"], "n", "s")

@@ -1,4 +1,4 @@
-"""Small synthetic media files."""
+"""Small synthetic media files, for trying the parsers where no media are at hand."""
 
 import struct
 

@@ -2,7 +2,7 @@ import pytest
 
 from tessellon.functions import values
 from tessellon.operators import containers, providers, reports, stats
-from tests import media
+from tessellon.sources import samples as media
 
 
 @pytest.fixture(scope="module")

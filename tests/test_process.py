@@ -6,7 +6,7 @@ from tessellon.plans import process
 from tessellon.plans.settings import Help, Settings, parse
 from tessellon.sources import files, sinks
 from tessellon.streaming import incremental
-from tests import media
+from tessellon.sources import samples as media
 
 
 @pytest.fixture
