@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ def test_vectors():
     assert kernels.tiger([b""])[0].hex() == "3293ac630c13f0245f92bbb1766e16167a4e58492dde73f3"
     assert kernels.crc([b"123456789", b""], kernels.CRC32C) == [bytes.fromhex("e3069283"), bytes(4)]
     assert kernels.crc([b"123456789"], kernels.CRC32)[0].hex() == "cbf43926"
+    data = [bytes([i % 253]) * n for i, n in enumerate((0, 1, 55, 56, 63, 64, 65, 1000))]
+    assert kernels.md4(data) == kernels.md4_lanes(data)
+    data = [bytes(i * 31 % 256 for i in range(n)) for n in (3, 5000, 65535, 65536, 70001, 300_000)]
+    assert kernels.crc(data, kernels.CRC32) == [zlib.crc32(x).to_bytes(4, "big") for x in data]
     empty = {224: "f71837502ba8e108", 256: "c5d2460186f7233c", 384: "2c23146a63a29acf", 512: "0eab42de4c3ceb92"}
     for bits, start in empty.items():
         assert kernels.keccak([b""], bits)[0].hex().startswith(start)
@@ -48,10 +53,21 @@ def test_ed2k_red_and_blue(monkeypatch):
     assert kernels.ed2k([a + b"b"])[0] == (one(one(a) + one(b"b")), None)
 
 
-@pytest.mark.skipif("not __import__('os').environ.get('LONG_TESTS')", reason="chunks of 9.7 MB")
-def test_ed2k_long():
-    red, blue = kernels.ed2k([bytes(9728000)])[0]
-    assert (red.hex(), blue.hex()) == ("fc21d9af828f92a8df64beac3357425d", "d7def262a127cd79096a108e7a9fc138")
+@pytest.mark.parametrize(
+    "n,red,blue",
+    [
+        (9727999, "ac44b93fc9aff773ab0005c911f8396f", None),
+        (9728000, "fc21d9af828f92a8df64beac3357425d", "d7def262a127cd79096a108e7a9fc138"),
+        (9728001, "06329e9dba1373512c06386fe29e3c65", None),
+        (19455999, "a4aed104a077de7e4210e7f5b131fe25", None),
+        (19456000, "114b21c63a74b6ca922291a11177dd5c", "194ee9e4fa79b2ee9f8829284c466051"),
+        (19456001, "e57f824d28f69fe90864e17673668457", None),
+    ],
+)
+@pytest.mark.skipif(kernels._library_md4() is None, reason="long without the crypto library")
+def test_ed2k_of_zeros(n, red, blue):
+    got = kernels.ed2k([bytes(n)])[0]
+    assert (got[0].hex(), got[1] and got[1].hex()) == (red, blue)
 
 
 def test_columns(spark):
