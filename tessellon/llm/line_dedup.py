@@ -109,7 +109,7 @@ def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(found, "intervals")
     place = F.struct(*DOC, "start")
     first = found.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    later = found.join(first, ["m", "ra", "rb"]).filter(place > F.col("first"))
+    later = found.join(materialize(first, "first"), ["m", "ra", "rb"]).filter(place > F.col("first"))
     gone = later.select(*DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("n"))
     return gone.distinct()
 
