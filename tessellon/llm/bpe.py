@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.llm import kernels
+
 #: Entries that a worker keeps of encoded chunks (twice as many pairs); beyond it they are computed again.
 CACHE = 800_000
 
@@ -181,6 +183,7 @@ class PrefixBPE:
 
 
 _KNOWN: dict[str, PrefixBPE] = {}
+kernels.MEMORIES["bpe"] = _KNOWN.clear
 
 
 def codec(ranks: bytes, pattern: str) -> PrefixBPE:
@@ -211,7 +214,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
-    return small.mapInArrow(run, schema)
+    return small.mapInArrow(kernels.trimmed(run, "bpe"), schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -225,4 +228,4 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
             texts = [None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return small.mapInArrow(run, f"`{id_col}` {id_type}, text string")
+    return small.mapInArrow(kernels.trimmed(run, "bpe"), f"`{id_col}` {id_type}, text string")

@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [x[0] for x in sketches(batch.column(1), k, fraction)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=[id_col, "fingerprint"])
 
-    return small.mapInArrow(run, f"`{id_col}` {id_type}, fingerprint string")
+    return small.mapInArrow(kernels.trimmed(run), f"`{id_col}` {id_type}, fingerprint string")
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,5 +147,5 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     schema = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    out = in_order(docs, id_col, text_col).mapInArrow(run, schema)
+    out = in_order(docs, id_col, text_col).mapInArrow(kernels.trimmed(run), schema)
     return out.withColumn(id_col, F.col(id_col).cast(id_type))

@@ -6,6 +6,8 @@ and code points agree). Memory stays near one chunk of bytes plus 8 bytes a word
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +20,35 @@ _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
+#: What operators remember in a worker, by operator; each entry forgets it.
+MEMORIES: dict = {}
+
+
+def forget(owner: str) -> None:
+    """Drop what all other operators remember; a function of this module, so that it is the worker's own memory."""
+    for name, drop in MEMORIES.items():
+        if name != owner:
+            drop()
+
+
+def trimmed(run, owner: str = ""):
+    """A function of batches that first forgets what other operators remember in this worker and, once it is through the batches,
+    gives freed memory back to the system: workers wait for long."""
+
+    def wrapped(batches):
+        forget(owner)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

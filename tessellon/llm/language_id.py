@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.llm import kernels
+
 BUCKETS = 8192
 PER_LANGUAGE = 500
 MAX_ROWS = 4000
@@ -147,7 +149,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
                 yield pa.RecordBatch.from_arrays(data, names=["at", "doc_id", "lang", "some", "index", "value"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"at long, doc_id {id_type}, lang string, some boolean, index binary, value binary").filter("some").collect()
+    found = picked.mapInArrow(kernels.trimmed(run), f"at long, doc_id {id_type}, lang string, some boolean, index binary, value binary").filter("some").collect()
     found.sort(key=lambda r: (r["at"], str(r["doc_id"]), r["lang"], bytes(r["index"])))
     taken, use = dict.fromkeys(sizes, 0), []
     for r in found:
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, model: Codes, id_col: str = "doc_id", text_col: str
                 data = [part.column(0), pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(margin.astype(float)), pa.array(margin < AMBIGUOUS)]
                 yield pa.RecordBatch.from_arrays(data, names=[id_col, "lang_pred", "score", "margin", "ambiguous"])
 
-    return small.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, margin double, ambiguous boolean")
+    return small.mapInArrow(kernels.trimmed(run), f"`{id_col}` {id_type}, lang_pred string, score double, margin double, ambiguous boolean")
 
 
 def held_out(n: int, rest: int, id_col: str = "doc_id") -> Column:

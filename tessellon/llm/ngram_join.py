@@ -7,10 +7,11 @@ some segment: in one of allocation 1 they agree, in one of allocation 2 they dif
 segment's subset, or the subset with one shingle deleted, is the same. These subsets' hashes are the signatures; equal
 signatures make candidates.
 
-How many segments have allocation 2, and how much is allocated in surplus (E), is chosen for each band by cost:
-signatures to shuffle plus expected chance pairs, from the sizes of all documents. The surplus pays for leaving out
-empty subsets, which unrelated small sets share: a set leaves them out unless more than E allocation lies in segments that are
-empty or nearly so in it; then only pairs in which both do so can need them, and both keep them.
+How many segments have allocation 2, how much is allocated in surplus (E), and which subsets are light (at most L shingles)
+is chosen for each band by cost: signatures to shuffle plus expected chance pairs, from the sizes of all documents. The
+surplus pays for leaving out light subsets, which unrelated sets share (no shingle, or a common one): matching segments
+hold more allocation than E, and a set that has at most E in light segments leaves those out; it still has a match in
+another. A set with more leaves nothing out, so two of them meet in light ones too.
 
 Signatures are made twice: first without ids, to find those that different sets share, then with ids, but only of those, told
 by a bitmap of bounded size (where it fills up, more rows are shuffled, no fewer results come). Candidates are narrowed by
@@ -31,9 +32,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tessellon.llm import kernels
 from tessellon.llm.components import components
@@ -43,8 +46,10 @@ WORDS = 5
 PERCENT = 80
 LONGS = 8
 ROWS = 512
-#: A chance pair costs as much as so many signatures.
-PAIR_COST = 2.0
+#: A chance pair costs as much as so many signatures, and one more for so many shingles.
+PAIR_COST, PAIR_SHINGLES = 1.0, 500
+#: The chance, in that cost, that two sets share a shingle.
+ALIKE = 1 / 4000
 
 
 def most_apart(total: int, percent: int) -> int:
@@ -62,6 +67,7 @@ class Band:
     apart: int
     two: int = 0
     surplus: int = 0
+    light: int = 0
 
     @property
     def segments(self) -> int:
@@ -80,23 +86,33 @@ def bands(largest: int, percent: int, width: float = 3) -> list[Band]:
 
 
 def allocate(band: Band, sizes: dict[int, int]) -> tuple[float, Band]:
-    """(cost, band) with the cheapest allocation for the given number of sets of each size."""
+    """(cost, band) with the cheapest allocation for the given number of sets of each size.
+
+    Shingles of a segment are taken as Poisson, and the surplus as enough with the normal distribution's probability.
+    """
     n = sum(sizes.values())
+    order = sorted(sizes)
     mean = sum(s * c for s, c in sizes.items()) / n if n else band.low
+    some = np.array(sorted({order[len(order) * i // 6] for i in range(6)} | {int(mean)}) if order else [band.low], float)[:, None]
+    surplus = np.unique(np.concatenate([np.arange(9), (band.apart + 1) * np.array([0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1, 1.25, 1.5])]).astype(int))
     best = None
-    for two in sorted({0, 1, 2, (band.apart + 1) // 4, (band.apart + 1) // 2}):
-        for surplus in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96):
-            b = Band(band.low, band.high, band.top, band.apart, two, surplus)
-            m = b.segments
-            if 2 * two > band.apart + 1 + surplus or m < 1:
-                continue
-            empty = (1 - 1 / m) ** mean
-            single = mean / m * (1 - 1 / m) ** max(mean - 1, 0)
-            weak = (m - two) * empty + 2 * two * (empty + single)
-            tail = 1 - math.exp(-weak) * sum(weak**i / math.factorial(i) for i in range(surplus + 1))
-            cost = n * (m + two * mean / m) + PAIR_COST * max(tail, 0) ** 2 * n * n / 2
-            if best is None or cost < best[0]:
-                best = (cost, b)
+    for two in sorted({0, (band.apart + 1) // 4, (band.apart + 1) // 2}):
+        m = (band.apart + 1 + surplus - two).astype(float)
+        mu = some / m
+        pmf = [np.exp(-mu)]
+        for t in range(1, 9):
+            pmf.append(pmf[-1] * mu / t)
+        for light in range(4):
+            q, r = sum(pmf[: light + 1]), sum(pmf[: light + 2])
+            weak = (m - two) * q + 2 * two * r
+            spread = np.sqrt(np.maximum((m - two) * q * (1 - q) + 4 * two * r * (1 - r), 1e-12))
+            tail = np.vectorize(math.erfc)((surplus + 0.5 - weak) / spread / math.sqrt(2)) / 2
+            signatures = n * ((1 - tail) * ((m - two) * (1 - q) + two * (1 + mu)) + tail * (m + two * mu)).mean(0)
+            chance = (m * sum(pmf[t] * ALIKE**t for t in range(light + 1, 9))).mean(0) + tail.mean(0) ** 2 * (m * pmf[0] + m * ALIKE * pmf[1]).mean(0)
+            cost = signatures + (PAIR_COST + mean / PAIR_SHINGLES) * np.minimum(chance, 1) * n * n / 2
+            i = int(np.argmin(cost))
+            if best is None or cost[i] < best[0]:
+                best = (float(cost[i]), Band(band.low, band.high, band.top, band.apart, two, int(surplus[i]), light))
     return best
 
 
@@ -145,13 +161,13 @@ class Signer:
         count = np.bincount(key, minlength=k * m)
         place = kernels.mix(np.arange(m, dtype=np.uint64) + np.uint64((g + 1) << 32))
         two = np.arange(m) < b.two
-        weak = np.where(two, 2 * (count.reshape(k, m) <= 1), count.reshape(k, m) == 0).sum(1)
-        some = (count > 0) | np.repeat(weak > b.surplus, m)
+        weak = np.where(two, 2 * (count.reshape(k, m) <= b.light + 1), count.reshape(k, m) <= b.light).sum(1)
+        some = (count > b.light) | np.repeat(weak > b.surplus, m)
         at = np.flatnonzero(some)
         sigs, docs = [kernels.mix(content[at] + place[at % m])], [which[at // m]]
         if b.two:
             less = seg < b.two
-            less &= (count[key] > 1) | (weak > b.surplus)[doc]
+            less &= (count[key] > b.light + 1) | (weak > b.surplus)[doc]
             sigs.append(kernels.mix(content[key[less]] - part[less] + place[seg[less]]))
             docs.append(which[doc[less]])
         return np.concatenate(sigs), np.concatenate(docs)
@@ -192,7 +208,7 @@ def summaries(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
                 maps = parity_maps(value, bounds)
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (np.diff(bounds), s1, s2, *maps.T))], names=names)
 
-    return small.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return small.mapInArrow(kernels.trimmed(run), ", ".join(f"{c} long" for c in names))
 
 
 #: A bitmap has at most 2**BITS bits.
@@ -200,30 +216,51 @@ BITS = 26
 
 
 class Bitmap:
-    """Which 64-bit keys may be in a set: no false negatives, and as few positives as bounded size allows."""
+    """Which 64-bit keys may be in a set: no false negatives, and as few positives as two bits a key in a bounded map give."""
 
-    def __init__(self, keys: DataFrame, column: str, scatter: bool):
-        self.scatter = scatter
+    def __init__(self, keys: DataFrame, column: str):
         keys = keys.select(F.col(column).alias("k"))
         self.bits = bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
-        place = self.place
+        places = self.places
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(1 << bits, bool)
+            own = np.zeros(1 << bits - 3, np.uint8)
             for batch in batches:
-                own[place(batch.column(0).to_numpy())] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["m"])
+                at = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
+                cell = at >> 3
+                start = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), cell[1:] != cell[:-1]]))
+                if len(at):
+                    own[cell[start]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), start)
+            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["m"])
 
-        self.map = np.zeros(1 << bits, bool)
-        for row in keys.coalesce(8).mapInArrow(run, "m binary").collect():
-            self.map |= np.unpackbits(np.frombuffer(row["m"], np.uint8)).astype(bool)
+        self.map = np.zeros(1 << bits - 3, np.uint8)
+        for row in keys.coalesce(8).mapInArrow(kernels.trimmed(run), "m binary").collect():
+            self.map |= np.frombuffer(row["m"], np.uint8)
 
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.view(np.uint64)
-        return ((kernels.mix(keys) if self.scatter else keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed, shift = kernels.mix(keys.view(np.uint64)), np.uint64(64 - self.bits)
+        return (mixed >> shift).astype(np.int64), ((mixed << np.uint64(30)) >> shift).astype(np.int64)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        return self.map[self.place(keys)]
+        a, b = self.places(keys)
+        bit = lambda at: (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return (bit(a) & bit(b)).astype(bool)
+
+    def column(self, name: str) -> Column:
+        """may_have() of a column of longs; null is not in it."""
+
+        @F.pandas_udf(BooleanType())
+        def test(x: pd.Series) -> pd.Series:
+            return pd.Series(self.may_have(x.fillna(0).to_numpy(np.int64)) & x.notna().to_numpy())
+
+        return test(F.col(name).cast("long"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without those whose id is in the stored ids (column id_col). Only rows that the bitmap can't clear are shuffled."""
+    maybe = Bitmap(ids, id_col).column(id_col)
+    clear = docs.filter(~maybe | F.col(id_col).isNull())
+    return clear.unionByName(docs.filter(maybe).join(ids, id_col, "left_anti").select(*docs.columns))
 
 
 def shared_signatures(docs: DataFrame, signer: Signer, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -231,10 +268,10 @@ def shared_signatures(docs: DataFrame, signer: Signer, k: int, id_col: str, text
     small = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (batch.column(0)[s : s + 4 * ROWS] for batch in batches for s in range(0, batch.num_rows, 4 * ROWS)):
             sigs, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for s in range(0, batch.num_rows, ROWS):
-                value, bounds = token_sets(batch.column(0)[s : s + ROWS], k)
+            for s in range(0, len(part), ROWS):
+                value, bounds = token_sets(part[s : s + ROWS], k)
                 sig, doc = signer.sign(value, bounds)
                 sigs.append(sig)
                 sets.append(_sums(kernels.mix(value + np.uint64(5)), bounds)[doc])
@@ -253,7 +290,7 @@ def shared_signatures(docs: DataFrame, signer: Signer, k: int, id_col: str, text
             lead[np.flatnonzero(other)[second]] = True
             yield pa.RecordBatch.from_arrays([pa.array(sig[lead].view(np.int64)), pa.array(own[lead].view(np.int64))], names=["sig", "own"])
 
-    raw = small.mapInArrow(run, "sig long, own long")
+    raw = small.mapInArrow(kernels.trimmed(run), "sig long, own long")
     return raw.groupBy("sig").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("sig")
 
 
@@ -269,7 +306,7 @@ def members(docs: DataFrame, signer: Signer, some: Bitmap, k: int, id_col: str,
                 hit = some.may_have(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), part.column(0).take(pa.array(doc[hit]))], names=["sig", "id"])
 
-    return small.mapInArrow(run, "sig long, id long")
+    return small.mapInArrow(kernels.trimmed(run), "sig long, id long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -283,7 +320,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(u, v) of the stored pairs (u, v) that link. Only the sets of their documents are shuffled."""
     wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "wanted")
-    some = Bitmap(wanted, "id", True)
+    some = Bitmap(wanted, "id")
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: st
                 own = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "tokens"])
 
-    sets = small.mapInArrow(tokens, "id long, tokens binary").filter("length(tokens) > 0").join(wanted, "id", "left_semi")
-    sets = materialize(sets, "tokens")
+    sets = materialize(small.mapInArrow(kernels.trimmed(tokens), "id long, tokens binary").filter("length(tokens) > 0"), "tokens")
     both = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("tu")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +346,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: st
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "tu", "tv").mapInArrow(kernels.trimmed(run), "u long, v long")
 
 
 #: Rounds that try one partner of each set, before all pairs of components are tried.
-ROUNDS = 3
+ROUNDS = 2
+#: Smallest signatures that a set carries into the last join.
+LEAST = 4
 
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,7 +369,7 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
 
     # An id stands for its set; ids of equal sets give way to the smallest.
     copies = some.join(classes.filter("rep < last").select(*key, "rep"), key).filter("id > rep").select("id").distinct()
-    member = members(docs, signer, Bitmap(shared, "sig", False), k, id_col, text_col).join(copies, "id", "left_anti")
+    member = members(docs, signer, Bitmap(shared, "sig"), k, id_col, text_col).join(copies, "id", "left_anti")
     member = materialize(member.join(shared, "sig").distinct(), "members")
     maps = classes.select(F.col("rep").alias("id"), "n", *MAPS)
 
@@ -362,13 +400,14 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
         edges = edges.union(links)
         now = components(edges)
 
-    rows = labelled().select("sig", "id", "component").join(maps, "id")
-    every = rows.groupBy("id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
-    rows = materialize(rows.join(every, "id"), "mixed")
+    rows = materialize(labelled().select("sig", "id", "component"), "mixed")
+    least = rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("low"))
+    rows = rows.join(materialize(maps.join(least, "id"), "maps"), "id")
     a, b = rows.alias("a"), rows.alias("b")
-    once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")  # a pair comes from the first signature it shares
+    # Not again where a smaller signature that both have already gives the pair.
+    once = F.coalesce(F.array_min(F.array_intersect("a.low", "b.low")), F.col("a.sig")) >= F.col("a.sig")
     cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent) & once)
-    cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+    cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     if tried is not None:
         cross = cross.join(tried, ["u", "v"], "left_anti")
     links = verified(materialize(cross, "cross"), docs, *where)

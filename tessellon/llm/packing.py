@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellon.llm import kernels
 from tessellon.llm.scratch import materialize
 
 CAPACITY = 2048
@@ -37,6 +38,7 @@ CACHE = 900_000
 _PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
 _KNOWN: dict[str, WordEncoder] = {}
+kernels.MEMORIES["packing"] = _KNOWN.clear
 
 
 def plain(text: str) -> bool:
@@ -116,7 +118,7 @@ def tokenize(docs: DataFrame, spec: bytes, closing_id: int = 0, id_col: str = "d
                 ids = [own.encode(t.as_py()) + close for t in batch.column(1)[s : s + 512]]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 512], pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
-    return small.mapInArrow(run, f"`{id_col}` {id_type}, ids binary")
+    return small.mapInArrow(kernels.trimmed(run, "packing"), f"`{id_col}` {id_type}, ids binary")
 
 
 def pieces(tokens: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
@@ -303,7 +305,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_co
     from pyspark.sql.types import LongType, StructType
 
     out = StructType.fromJson(schema).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.mapInArrow(run, out)
+    return ranked.mapInArrow(kernels.trimmed(run, "packing"), out)
 
 
 def pack_documents(docs: DataFrame, spec: bytes, capacity: int = CAPACITY, closing_id: int = 0) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.llm import kernels
+
 # Fixed values.
 KINDS = ["email", "ip", "card", "phone", "secret", "contact", "number"]
 BASE = KINDS[:4]
@@ -299,7 +301,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows = [[{"start": a, "end": b, "kind": k, "base": own} for a, b, k, own in x] for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 512], pa.array(rows, kind)], names=[id_col, "spans"])
 
-    return small.mapInArrow(run, f"`{id_col}` {id_type}, spans {SPANS}")
+    return small.mapInArrow(kernels.trimmed(run), f"`{id_col}` {id_type}, spans {SPANS}")
 
 
 def joined(found: Column) -> Column:
@@ -331,4 +333,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernels.trimmed(run), docs.schema)

@@ -21,6 +21,17 @@ def root(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+#: Rows that go to a Python worker at once, at most; texts are long.
+ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ROWS where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{root(df.sparkSession)}/tessellon-{name}-{uuid.uuid4().hex}"

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["f", "n"])
 
     least = max(2, int(0.004 * len(ids)))
-    common = sample.filter("p").select("text").mapInArrow(own, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    common = sample.filter("p").select("text").mapInArrow(kernels.trimmed(own), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     top = common.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
     if not top:
         return Model(np.zeros(0, np.uint64), np.zeros(0), base)
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 found = [k[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["p", "u", "k"])
 
-    got = sample.mapInArrow(present, "p boolean, u boolean, k binary").collect()
+    got = sample.mapInArrow(kernels.trimmed(present), "p boolean, u boolean, k binary").collect()
     got.sort(key=lambda r: (r["p"], r["u"], bytes(r["k"])))
     ones = [(True, np.frombuffer(r["k"], np.uint32)) for r in got if r["p"]] + [(False, np.frombuffer(r["k"], np.uint32)) for r in got if r["u"]]
     p = np.array([x for x, _ in ones])
@@ -201,4 +201,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 columns = [part.column(batch.schema.get_field_index(c)) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(part.column(at)))], names=[f.name for f in schema])
 
-    return small.mapInArrow(run, schema)
+    return small.mapInArrow(kernels.trimmed(run), schema)

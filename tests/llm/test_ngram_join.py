@@ -105,3 +105,13 @@ def test_awkward(spark):
     null = ngram_join.join_components(awkward(spark, [(None, "a b c d"), (1, "a b c d")]), 3, 90).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in null) == [(0, 2, None), (1, 2, 1)]
     assert ngram_join.join_components(df.limit(0), 3, 90).count() == 0
+
+
+def test_without_drops_exactly_the_given_ids(spark):
+    docs = awkward(spark, [(i, str(i)) for i in range(500)] + [(None, "x"), (7, "again")])
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 7)], "doc_id long")
+    kept = ngram_join.without(docs, gone)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i in range(500) if i % 7]
+    assert kept.filter("doc_id IS NULL").count() == 1
+    assert ngram_join.without(docs, gone.limit(0)).count() == 502
