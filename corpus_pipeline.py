@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellon.llm import bpe, language_id, line_dedup, ngram_join, packing, pii, toxicity
-from tessellon.llm.scratch import materialize
+from tessellon.llm.scratch import materialize, small_batches
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents scored at the threshold or above go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     known = ~language_id.held_out(3, 1)
     model = toxicity.fit(docs.select("doc_id", "text").filter(known), labels.filter(known))
@@ -31,15 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: later copies of repeated line runs go; a document of which nothing is left goes as a whole."""
+    small_batches(spark)
     out = line_dedup.dedup_lines(docs).filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
     return _sized(out.drop("__n_lines", "__n_removed"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2, five words and a similarity of 0.8: the smallest id of each group stays."""
+    small_batches(spark)
     groups = materialize(ngram_join.join_components(docs, k=5, percent=80), "groups")
-    losers = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    losers = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "losers")
+    kept = ngram_join.without(docs, losers)
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
@@ -47,11 +50,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: every span of personal data becomes its kind in angle brackets."""
+    small_batches(spark)
     return _sized(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: pieces of at most 2048 tokens in as few sequences as it can."""
+    small_batches(spark)
     return packing.pack_documents(docs, bpe.read_ranks(public_tokenizers.path("word_bpe_49k.json")))
 
 
