@@ -6,7 +6,8 @@ that is, merging bytes(p) + bytes(t) gives [p, t] again. The table of last token
 only extends it, and an edit refills it from the first changed byte up to where it agrees with the old table.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are encoded each; texts of any
-length are encoded whole; other columns than id and text are not read.
+length are encoded whole; what a worker remembers is bounded by bytes; other columns than id and text are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessellon.llm import kernels
 
-#: Entries that a worker keeps of encoded chunks (twice as many pairs); beyond it they are computed again.
-CACHE = 800_000
+#: Bytes that a worker keeps of encoded chunks, and entries of pairs, of about 100 bytes each; beyond it they are computed again.
+CHUNK_BYTES, PAIRS = 128 << 20, 500_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -51,7 +52,7 @@ class PrefixBPE:
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.marks: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = kernels.Remembered(CHUNK_BYTES)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging by rank; used on the few bytes of a pair of tokens only."""
@@ -72,7 +73,7 @@ class PrefixBPE:
     def may_follow(self, p: int, t: int) -> bool:
         key = p << 32 | t
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 2 * CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merge(self.token[p] + self.token[t]) == [p, t]
         return ok
@@ -172,8 +173,7 @@ class PrefixBPE:
         known, new = self.chunks, {}
         if missing := set(rest).difference(known):
             new = {x: self.after_blank(x) for x in missing}
-            if len(known) < CACHE:
-                known.update(new)
+            if known.keep(new):
                 new = {}
         out = [known[x] if x in known else new[x] for x in rest] if new else map(known.__getitem__, rest)
         return (self.matches(head) if head else b"") + b"".join(out)

@@ -24,6 +24,26 @@ _POWERS = np.ones(1, np.uint64)
 MEMORIES: dict = {}
 
 
+#: About what a dictionary of strings to bytes holds for an entry besides the characters and bytes.
+ENTRY = 190
+
+
+class Remembered(dict):
+    """A dictionary of at most so many bytes; what comes after that isn't kept."""
+
+    def __init__(self, most: int):
+        self.room = most
+
+    def keep(self, new: dict[str, bytes]) -> bool:
+        """Whether all of it is kept, or none."""
+        size = sum(ENTRY + 2 * len(k) + len(v) for k, v in new.items())
+        if size > self.room:
+            return False
+        self.room -= size
+        self.update(new)
+        return True
+
+
 def forget(owner: str) -> None:
     """Drop what all other operators remember; a function of this module, so that it is the worker's own memory."""
     for name, drop in MEMORIES.items():

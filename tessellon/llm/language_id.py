@@ -6,10 +6,12 @@ weighted by how well that bit's classifier tells that language on rows left out
 languages are close is flagged as ambiguous.
 
 Up to seven languages have the exhaustive code, more of them random dense codewords with the largest least distance found.
-The fit reads at most `per_language` rows a language and MAX_ROWS in all; the prediction reads every whole text.
+The fit reads at most `per_language` rows a language and MAX_ROWS in all, those with the least hashes of (id, text), where
+rows that repeat both count once; the prediction reads every whole text, long ones in slices.
 
-Defined results: null texts and texts without a letter are `und` with score 0; with no row to learn from, all are;
-repeated rows are predicted each; a null id is never held out; other columns are not read.
+Defined results: null texts and texts without a letter are `und` with score 0 and are not learned from; with no row to
+learn from, all are `und`; repeated rows are predicted each; a null id is never held out; of equally near codewords the
+first language by name is taken, and the text is ambiguous; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.llm import kernels
+from tessellon.llm.scratch import materialize, small_batches
 
 BUCKETS = 8192
 PER_LANGUAGE = 500
@@ -128,34 +131,38 @@ class Codes:
 
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Codes:
-    """rows: doc_id, text, lang. Per language the rows with the least hashes of (doc_id, text) are read, so few in all."""
-    rows = rows.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """rows: doc_id, text, lang. Per language, the rows with the least hashes of (doc_id, text) are learned from.
+
+    However often an id, a null id or a text repeats, at most max_rows rows (or one a language) come to the driver: distinct
+    hashes are drawn and ranked before any text is read.
+    """
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("at"), "text")
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "at").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Codes(np.zeros((0, BUCKETS), np.float32), [])
     most = max(1, min(per_language, max_rows // len(sizes)))
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.2 * most / n + 20 / n))])
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    picked = rows.withColumn("at", at).filter(F.col("at") < share[F.col("lang")] * (1 << 20)).select("at", "doc_id", "lang", "text")
+    # Twice the share, and some, leaves enough in all but vanishing cases; the rank then takes as many as asked.
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 2 * most / n + 40 / n))])
+    drawn = rows.filter(F.pmod("at", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).select("lang", "at").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    drawn = materialize(drawn.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank"), "drawn")
+    picked = rows.join(F.broadcast(drawn), ["lang", "at"], "left_semi")  # at most max_rows rows, or one a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 64):
                 part = batch.slice(s, 64)
-                x, some = features(part.column(3).to_pylist())
+                x, some = features(part.column(2).to_pylist())
                 index = [np.flatnonzero(r).astype(np.uint16) for r in x]
                 value = [x[i, k].astype(np.float32).tobytes() for i, k in enumerate(index)]
-                data = [part.column(0), part.column(1), part.column(2), pa.array(some), pa.array([k.tobytes() for k in index]), pa.array(value)]
-                yield pa.RecordBatch.from_arrays(data, names=["at", "doc_id", "lang", "some", "index", "value"])
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(kernels.trimmed(run), f"at long, doc_id {id_type}, lang string, some boolean, index binary, value binary").filter("some").collect()
-    found.sort(key=lambda r: (r["at"], str(r["doc_id"]), r["lang"], bytes(r["index"])))
-    taken, use = dict.fromkeys(sizes, 0), []
-    for r in found:
-        if taken[r["lang"]] < most:
-            taken[r["lang"]] += 1
-            use.append(r)
+                data = [part.column(0), part.column(1), pa.array(some), pa.array([k.tobytes() for k in index]), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(data, names=["lang", "at", "some", "index", "value"])
+
+    found = picked.mapInArrow(kernels.trimmed(run), "lang string, at long, some boolean, index binary, value binary").filter("some")
+    found = found.groupBy("lang", "at").agg(F.min("index").alias("index"), F.min("value").alias("value"))  # copies are alike
+    with small_batches(rows.sparkSession):
+        use = sorted(found.collect(), key=lambda r: (r["lang"], r["at"]))
     x = np.zeros((len(use), BUCKETS), np.float32)
     for i, r in enumerate(use):
         x[i, np.frombuffer(r["index"], np.uint16)] = np.frombuffer(r["value"], np.float32)

@@ -14,8 +14,10 @@ the order of (id, text hash, line number).
 Only ids are sorted and joined; hot lines are aggregated before the shuffle, and joins on them can be split. The texts
 are shuffled once, to meet their deletions.
 
-Defined results: null stays null; empty texts have one empty line; rows that repeat an id and text are one document and
-all get its result; null ids stand first; other columns are kept. A text of which all lines go becomes empty.
+Defined results: null stays null; empty texts have one empty line; a text of very many lines, or a very long line, is
+worked on whole; rows that repeat an id and text are one document and all get its result; null ids stand first, and of
+copies with one id the one with the smaller text hash; other columns are kept, an empty table gives an empty table. A text
+of which all lines go becomes empty. Tables made on the way are deleted once nothing reads them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.scratch import materialize
+from tessellon.llm.scratch import made, materialize, release_since
 
 MIN_WORDS = 50
 _LEAST = -(2**63)
@@ -116,10 +118,13 @@ def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies deleted from the text, and __n_lines and __n_removed (long)."""
+    before = made()
     lines = materialize(line_table(docs, id_col, text_col), "lines")
     gone = materialize(deletions(lines, min_words), "gone")
     marked = lines.join(gone.select(*DOC).distinct(), DOC, "left_semi").select(*DOC, "n").join(gone.withColumn("gone", F.lit(True)), [*DOC, "n"], "left")
     flags = marked.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("n", F.col("gone").isNull().alias("keep")))).alias("__flags"))
+    flags = materialize(flags, "flags")
+    release_since(docs.sparkSession, before, flags)
     both = _keyed(docs, id_col, text_col).join(flags, DOC, "left")
     kept = F.array_compact(F.zip_with(F.split(text_col, "\n"), "__flags", lambda line, f: F.when(f["keep"], line)))
     text = F.when(F.col("__flags").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

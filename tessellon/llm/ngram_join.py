@@ -21,8 +21,9 @@ each set is tried against a set of the first component of a signature, which lin
 different components that share a signature are tried, which is every pair that can still join two.
 
 Defined results: null texts, empty texts and texts without words have no shingles and are linked with nothing; fewer
-than k words are one shingle; rows that repeat an id are one document with the links of all its texts; rows with a
-null id have no component; other columns are not read.
+than k words are one shingle; very long texts are sets like others; rows that repeat an id are one document with the links
+of all its texts; rows with a null id have no component; of a class's ids the smallest names it, so there are no ties; other
+columns are not read; an empty table gives an empty table. Tables made on the way are deleted once nothing reads them.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql.types import BooleanType
 
 from tessellon.llm import kernels
 from tessellon.llm.components import components
-from tessellon.llm.scratch import materialize
+from tessellon.llm.scratch import made, materialize, release_since
 
 WORDS = 5
 PERCENT = 80
@@ -215,30 +216,35 @@ def summaries(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
 BITS = 26
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = turn(x.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42 + 8) + p5)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 class Bitmap:
-    """Which 64-bit keys may be in a set: no false negatives, and as few positives as two bits a key in a bounded map give."""
+    """Which 64-bit keys may be in a set: no false negatives, and as few positives as two bits a key in a bounded map give.
+
+    It is made by an aggregation over all keys; the driver gets its words, at most 2**(BITS - 6) of them.
+    """
 
     def __init__(self, keys: DataFrame, column: str):
-        keys = keys.select(F.col(column).alias("k"))
         self.bits = bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
-        places = self.places
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(1 << bits - 3, np.uint8)
-            for batch in batches:
-                at = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
-                cell = at >> 3
-                start = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), cell[1:] != cell[:-1]]))
-                if len(at):
-                    own[cell[start]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), start)
-            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["m"])
-
-        self.map = np.zeros(1 << bits - 3, np.uint8)
-        for row in keys.coalesce(8).mapInArrow(kernels.trimmed(run), "m binary").collect():
-            self.map |= np.frombuffer(row["m"], np.uint8)
+        h = F.xxhash64(F.col(column).cast("long"))
+        places = F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(F.shiftleft(h, 30), 64 - bits))
+        at = keys.filter(F.col(column).isNotNull()).select(F.explode(places).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("ones")).toArrow()
+        cells = np.zeros(1 << bits - 6, "<i8")
+        cells[words.column("word").to_numpy()] = words.column("ones").to_numpy()
+        self.map = cells.view(np.uint8)
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed, shift = kernels.mix(keys.view(np.uint64)), np.uint64(64 - self.bits)
+        mixed, shift = spark_hash(keys), np.uint64(64 - self.bits)
         return (mixed >> shift).astype(np.int64), ((mixed << np.uint64(30)) >> shift).astype(np.int64)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
@@ -357,7 +363,7 @@ LEAST = 4
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    where = (k, percent, id_col, text_col)
+    where, spark, before = (k, percent, id_col, text_col), docs.sparkSession, made()
     info = materialize(summaries(docs, k, id_col, text_col), "sets")
     key = ["n", "s1", "s2"]
     some = info.filter("n > 0 AND id IS NOT NULL")
@@ -399,6 +405,7 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
             break
         edges = edges.union(links)
         now = components(edges)
+        release_since(spark, before, info, classes, member, edges, now, tried)
 
     rows = materialize(labelled().select("sig", "id", "component"), "mixed")
     least = rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("low"))
@@ -414,6 +421,8 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
     final = components(edges.union(materialize(links, "links")))
 
     labels = classes.select(*key, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = info.select("id", *key).join(materialize(labels, "labels"), key, "left")
+    labels = materialize(labels, "labels")
+    release_since(spark, before, info, labels)
+    out = info.select("id", *key).join(labels, key, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))

@@ -3,22 +3,29 @@
 The instance is held as a histogram of piece lengths (at most `capacity` entries, whatever the number of documents), so
 the driver plans on numbers of equal pieces: a reduction or a placement is done for all pieces of a length at once. The
 plan is a list of runs of equal sequences; which piece goes where follows from its rank among pieces of its length,
-and that rank is found in the cluster, over groups of (length, salt), since one length may hold a third of all pieces.
+and that rank is found in the cluster, over groups of (length, salt), since one length may hold a third of all pieces: a
+length has as many salts as its share of all pieces asks for, so that no group has more than one GROUPS-th of them.
 
 Reduction (Martello and Toth 1990): the largest remaining piece w is fixed together with a set that dominates every other
 set holding w: nothing else fits; or a piece fills the rest exactly; or only one more piece fits and the largest
 that does is taken; or at most two more fit and one piece, or a pair, covers all alternatives. It is repeated until
 nothing more can be fixed.
 
-Defined results: null and empty texts are documents of no ids, which still have the closing id; ties go by
-(id, piece); repeated rows are packed each; other columns are not read; an empty table gives an empty table.
+Texts are cut at white space and words are looked up only under a tokenizer file whose rules allow it; under any other
+file whole texts are encoded. What a worker remembers is bounded by bytes.
+
+Defined results: null and empty texts are documents of no ids, which still have the closing id; very long texts are
+encoded whole and cut into pieces where their ids are; ties go by (id, piece); repeated rows are packed each; other
+columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +37,12 @@ from tessellon.llm import kernels
 from tessellon.llm.scratch import materialize
 
 CAPACITY = 2048
-SALTS = 128
-#: Entries that a worker keeps of encoded words; beyond it they are encoded again.
-CACHE = 900_000
+GROUPS = 4096
+#: Bytes that a worker keeps of encoded words and of their letters; beyond it they are encoded again.
+WORDS_BYTES, LETTERS_BYTES = 80 << 20, 32 << 20
+#: The rules of a tokenizer under which no token reaches over white space or from letters to marks.
+_LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Texts of these characters only are encoded word by word: there, no rule of the tokenizer crosses white space,
 #: and normalisation and lower case are the same in Python and in the tokenizer.
 _PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
@@ -48,6 +58,23 @@ def plain(text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None
 
 
+def cut_at_blanks(spec: bytes) -> bool:
+    """Whether the tokenizer file has just the rules under which words can be encoded one by one."""
+    rules = json.loads(spec)
+    before = rules.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}]
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and len(steps) == 2
+        and steps[0] == {"type": "Split", "pattern": {"Regex": _LETTER_RULE}, "behavior": "Removed", "invert": True}
+        and steps[1].get("type") == "ByteLevel"
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex")
+        and not rules["model"].get("dropout")
+        and all(t["content"].startswith("<|") for t in rules.get("added_tokens") or [])
+    )
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizers file, with the ids of white-space separated words remembered."""
 
@@ -55,8 +82,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.by_words = cut_at_blanks(spec)
+        self.known, self.letters = kernels.Remembered(WORDS_BYTES), kernels.Remembered(LETTERS_BYTES)
         self.marks = dict(zip(",.;:!?", self._whole(list(",.;:!?")), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -75,21 +102,19 @@ class WordEncoder:
         new = [x for x in {b for b, _ in split.values()} if x not in self.letters]
         ids = dict(zip(new, self._whole(new), strict=True))
         out = {w: (ids[b] if b in ids else self.letters[b]) + m for w, (b, m) in split.items()}
-        if len(self.letters) < CACHE // 2:
-            self.letters.update(ids)
+        self.letters.keep(ids)
         out.update(zip(other, self._whole(other), strict=True))
         return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or not plain(text):
+        if not self.by_words or "<|" in text or not plain(text):
             return self._whole([text])[0]
         words, known, new = text.split(), self.known, {}
         if missing := set(words).difference(known):
             new = self._words(missing)
-            if len(known) < CACHE:
-                known.update(new)
+            if known.keep(new):
                 new = {}
         return b"".join([known[w] if w in known else new[w] for w in words] if new else map(known.__getitem__, words))
 
@@ -102,8 +127,8 @@ def encoder(spec: bytes) -> WordEncoder:
     return _KNOWN[key]
 
 
-def tokenize(docs: DataFrame, spec: bytes, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary: little-endian unsigned 32-bit, with the closing id) of every document."""
+def _encoded(docs: DataFrame, spec: bytes, closing_id: int, id_col: str, text_col: str, cut, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """(id, *columns) of the rows that cut gives for the ids of each document, closing id included."""
     small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = small.schema["id"].dataType.simpleString()
     close = int(closing_id).to_bytes(4, "little")
@@ -115,21 +140,29 @@ def tokenize(docs: DataFrame, spec: bytes, closing_id: int = 0, id_col: str = "d
         own = encoder(spec)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
-                ids = [own.encode(t.as_py()) + close for t in batch.column(1)[s : s + 512]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 512], pa.array(ids, pa.binary())], names=[id_col, "ids"])
+                rows = [(i, *row) for i, t in enumerate(batch.column(1)[s : s + 512]) for row in cut(own.encode(t.as_py()) + close)]
+                at, *data = zip(*rows, strict=True) if rows else [[]] * (len(columns) + 1)
+                ids = batch.column(0)[s : s + 512].take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(d, t) for d, (_, t, _) in zip(data, columns, strict=True))], names=[id_col, *(c for c, _, _ in columns)])
 
-    return small.mapInArrow(kernels.trimmed(run, "packing"), f"`{id_col}` {id_type}, ids binary")
+    return small.mapInArrow(kernels.trimmed(run, "packing"), ", ".join([f"`{id_col}` {id_type}", *(f"{c} {t}" for c, _, t in columns)]))
 
 
-def pieces(tokens: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """(id, piece, start, length, ids): only documents longer than the capacity are cut."""
-    n = (F.length("ids") / 4).cast("long")
-    return (
-        tokens.select(id_col, "ids", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / capacity).cast("int") - 1))).alias("piece"))
-        .withColumn("start", F.col("piece").cast("long") * capacity)
-        .withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
-        .select(id_col, "piece", "start", "length", F.expr(f"substring(ids, piece * {4 * capacity} + 1, {4 * capacity})").alias("ids"))
-    )
+def tokenize(docs: DataFrame, spec: bytes, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids binary: little-endian unsigned 32-bit, with the closing id) of every document."""
+    return _encoded(docs, spec, closing_id, id_col, text_col, lambda ids: [(ids,)], [("ids", pa.binary(), "binary")])
+
+
+def pieces(docs: DataFrame, spec: bytes, capacity: int = CAPACITY, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, and with_ids also ids): only documents longer than the capacity are cut."""
+
+    def cut(ids: bytes) -> Iterator[tuple]:
+        for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+            own = ids[at : at + 4 * capacity]
+            yield (i, at // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else []))
+
+    columns = [("piece", pa.int32(), "int"), ("start", pa.int64(), "bigint"), ("length", pa.int64(), "bigint"), ("ids_crc32", pa.int64(), "bigint")]
+    return _encoded(docs, spec, closing_id, id_col, text_col, cut, columns + [("ids", pa.binary(), "binary")] * with_ids)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -274,17 +307,21 @@ def slots(runs: list[tuple[int, tuple[tuple[int, int], ...]]]) -> tuple[np.ndarr
 def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """items with sequence_id and offset (long). order: columns that tell pieces of a length apart.
 
-    To the driver go at most capacity x SALTS counts; the plan that the tasks get has a row for each run of equal places.
+    To the driver go at most capacity counts of lengths and capacity + GROUPS counts of groups; the plan that the tasks get
+    has a row for each run of equal places.
     """
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+    of_length = {int(r[0]): int(r[1]) for r in items.groupBy(length_col).count().collect()}
+    each = max(1, sum(of_length.values()) // GROUPS)
+    parts = {w: -(-n // each) for w, n in of_length.items()}
+    salts = F.lit([parts.get(w, 1) for w in range(max(parts, default=0) + 1)])
+    salt = F.pmod(F.xxhash64(*order), F.get(salts, F.col(length_col).cast("int")))
+    salted = items.withColumn("_salt", salt.cast("int"))
     counts = salted.groupBy(length_col, "_salt").count().toPandas().sort_values([length_col, "_salt"])
     w, salt, n = (counts[c].to_numpy(np.int64) for c in (length_col, "_salt", "count"))
     before = np.cumsum(n) - n
     first = before - before[np.searchsorted(w, w)] if len(w) else before
-    sizes, at = np.unique(w, return_inverse=True)
-    totals = {int(k): int(c) for k, c in zip(sizes, np.bincount(at, n).astype(np.int64), strict=True)} if len(w) else {}
-    where = slots(plan(totals, capacity))
-    keys, starts = w * SALTS + salt, first
+    where = slots(plan(of_length, capacity))
+    keys, starts = w * (1 << 20) + salt, first
     rank = F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order))
     ranked = salted.withColumn("_rank", rank.cast("long") - 1)
     schema = items.schema.jsonValue()
@@ -295,7 +332,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_co
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
             size = get(length_col)
-            r = get("_rank") + starts[np.searchsorted(keys, size * SALTS + get("_salt"))]
+            r = get("_rank") + starts[np.searchsorted(keys, size * (1 << 20) + get("_salt"))]
             k = np.searchsorted(by, size * (1 << 42) + r, "right") - 1
             q = r - where[1][k]
             seq, off = where[3][k] + q // where[2][k], where[4][k] + q % where[2][k] * size
@@ -310,5 +347,5 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_co
 
 def pack_documents(docs: DataFrame, spec: bytes, capacity: int = CAPACITY, closing_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece; the ids themselves are in pieces()."""
-    cut = pieces(tokenize(docs, spec, closing_id), capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, spec, capacity, closing_id, with_ids=False)
     return pack(materialize(cut, "pieces"), ["doc_id", "piece", "start", "ids_crc32"], capacity)

@@ -1,4 +1,8 @@
-"""The queries of this subpackage, with production parameters, over whole tables."""
+"""The queries of this subpackage, with production parameters, over whole tables.
+
+Those that send whole texts through Python and return a few columns store these at once, in batches of bounded bytes
+(scratch.small_batches), so that the session keeps its own setting.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellon.llm import bpe, chat, fingerprint, language_id, line_dedup, ngram_join, packing, pii, topk, toxicity
-from tessellon.llm.scratch import small_batches
+from tessellon.llm.scratch import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,7 +24,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.held_out(4, 2)
     model = language_id.fit(docs.filter(~out))
-    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
+    return materialize(language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "ambiguous"), "languages")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-    return found.select(
+    digest = found.select(
         "doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added")
     )
+    return materialize(digest, "spans")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.held_out(3, 1)
     model = toxicity.fit(docs.select("doc_id", "text").filter(~out), labels.select("doc_id", "toxic").filter(~out))
     scored = toxicity.score(docs, model).withColumn("held_out", out)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return materialize(scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")), "toxicity")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +74,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return materialize(out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "digests")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

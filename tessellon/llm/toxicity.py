@@ -5,11 +5,14 @@ unlabelled ones. The risk of the unlabelled as negatives is corrected by the cla
 max(0, R_u(-) - pi * R_p(-)); where the corrected part turns negative, the step goes the other way, so that the
 classifier doesn't take the toxic texts among the unlabelled for clean ones.
 
-The fit reads at most `positives` toxic texts and about `unlabelled` others, chosen by hash, and at most FEATURES
-features; the prior is the toxic share of the rows whose label may be read. Scoring reads every whole text.
+The fit reads at most `positives` toxic texts and `unlabelled` others, those with the least hashes of (id, text), where
+rows that repeat both count once, and at most FEATURES features; the prior is the toxic share of the rows whose label may
+be read. Scoring reads every whole text; very long ones go through the kernels in chunks.
 
 Defined results: null is an empty text; empty texts have the score of no features; without any confirmed toxic text all
-scores are the prior (0 without labels); repeated rows are scored each; other columns are not read.
+scores are the prior (0 without labels); an id with several labels is toxic if one of them says so; null ids have no label
+and are unlabelled; ties among features go by hash; repeated rows are scored each; other columns are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.llm import kernels
-from tessellon.llm.scratch import materialize
+from tessellon.llm.scratch import materialize, small_batches
 
 POSITIVES = 1500
 UNLABELLED = 3000
@@ -124,13 +127,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     base = float(np.log(prior / (1 - prior)))
     if not toxic:
         return none
-    ids = [r[0] for r in known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).collect()]
-    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    share = min(1.0, unlabelled / max(1, rows.count()))
-    mark = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id long")  # at most `positives` rows
-    other = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20)
-    sample = rows.join(F.broadcast(mark.withColumn("p", F.lit(True))), "doc_id", "left").filter(F.col("p") | other)
-    sample = materialize(sample.select(F.coalesce("p", F.lit(False)).alias("p"), other.alias("u"), "text"), "sample")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
+    share = lambda most, n: min(1.0, 2 * most / max(n, 1) + 40 / max(n, 1)) * (1 << 40)
+    near = lambda k: F.pmod(F.xxhash64("at", F.lit(k)), F.lit(1 << 40))
+
+    def drawn(hashes: DataFrame, most: int, k: int) -> DataFrame:
+        """At most `most` of the distinct hashes; which, depends on them alone. Few more than that are ranked."""
+        hashes = materialize(hashes.distinct(), "hashes")
+        few = hashes.filter(near(k) < share(most, hashes.count()))
+        return materialize(few.orderBy(near(k), "at").limit(most), "drawn")
+
+    marked = known.filter("toxic = 1").select("doc_id").distinct()
+    confirmed = drawn(rows.select("doc_id", "at").join(marked, "doc_id", "left_semi").select("at"), positives, 5)
+    others = drawn(rows.select("at"), unlabelled, 6)
+    both = confirmed.withColumn("p", F.lit(True)).join(others.withColumn("u", F.lit(True)), "at", "full")
+    both = materialize(both.select("at", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u")), "both")
+    # At most positives + unlabelled hashes are broadcast; copies meet before the shuffle.
+    sample = rows.join(F.broadcast(both), "at").groupBy("at", "p", "u").agg(F.first("text").alias("text"))
+    sample = materialize(sample.select("p", "u", "text"), "sample")
+    n_ids = confirmed.count()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 value, n = np.unique(value, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["f", "n"])
 
-    least = max(2, int(0.004 * len(ids)))
+    least = max(2, int(0.004 * n_ids))
     common = sample.filter("p").select("text").mapInArrow(kernels.trimmed(own), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = common.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
+    with small_batches(docs.sparkSession):
+        top = common.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
     if not top:
         return Model(np.zeros(0, np.uint64), np.zeros(0), base)
     hashes = np.array([r["f"] for r in top], np.int64).view(np.uint64)
@@ -157,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 found = [k[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["p", "u", "k"])
 
-    got = sample.mapInArrow(kernels.trimmed(present), "p boolean, u boolean, k binary").collect()
+    with small_batches(docs.sparkSession):
+        got = sample.mapInArrow(kernels.trimmed(present), "p boolean, u boolean, k binary").collect()
     got.sort(key=lambda r: (r["p"], r["u"], bytes(r["k"])))
     ones = [(True, np.frombuffer(r["k"], np.uint32)) for r in got if r["p"]] + [(False, np.frombuffer(r["k"], np.uint32)) for r in got if r["u"]]
     p = np.array([x for x, _ in ones])

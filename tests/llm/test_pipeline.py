@@ -1,6 +1,6 @@
 
 import corpus_pipeline
-from tessellon.llm import language_id, pii, toxicity
+from tessellon.llm import language_id, pii, scratch, toxicity
 from tests.llm.fixtures import table
 from tests.llm.test_line_dedup import brute as dedup
 from tests.llm.test_ngram_join import brute as group
@@ -30,14 +30,26 @@ def test_stages_against_brute_force(spark):
 
 
 def test_stages_keep_the_columns_and_awkward_rows(spark):
-    rows = [(1, None), (2, ""), (3, "clean words here"), (3, "clean words here"), (4, "mail a@b.co now"), (None, "no id"), (5, "word " * 30_000)]
+    rows = [(1, None), (2, ""), (2, ""), (3, "clean words here"), (3, "clean words here"), (4, "mail a@b.co now"), (None, "no id"), (None, "no id either"), (5, "word " * 30_000)]
+    # An id on two texts: one belongs to a group and is not its smallest, the other to none.
+    rows += [(6, "these seven words are the same twice"), (7, "these seven words are the same twice"), (7, "a text of its own that stays")]
     df = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _score string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, df, SF)
         assert out.schema.names == df.columns
         df = spark.createDataFrame(out.collect(), out.schema)
-    texts = sorted((r.doc_id or 0, r.text) for r in df.collect())
-    assert [i for i, _ in texts] == [0, 1, 2, 3, 4, 5] and dict(texts)[4] == "mail <email> now"
-    assert corpus_pipeline.pack(spark, df, SF).select("doc_id").distinct().count() == 6
+    texts = sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    assert [i for i, _ in texts] == [0, 0, 1, 2, 2, 3, 4, 5, 6, 7] and dict(texts)[4] == "mail <email> now"
+    assert dict(texts)[7] == "a text of its own that stays"
+    assert corpus_pipeline.pack(spark, df, SF).select("doc_id").distinct().count() == 8
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_stages_delete_what_the_one_before_left(spark):
+    mine = scratch.materialize(spark.range(3), "mine")
+    docs, most = spark.read.parquet(f"{SF}/documents.parquet").limit(60), 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.materialize(stage(spark, docs, SF), name)
+        most = max(most, len(corpus_pipeline._LEFT))
+    assert docs.count() and mine.count() == 3 and most < 12
