@@ -1,20 +1,24 @@
 """Personal data: fixed patterns first, then spans that a linear-chain conditional random field adds.
 
-The patterns give the kinds email, ip, card and phone. The field labels tokens of lines that hold a digit, an at sign, an
-equals sign, a spelled-out dot or a long run of capitals with secret (keys, passwords, tokens), contact (spelled-out addresses) and number
-(local telephone and identity numbers); its features are word shapes, lengths and cue words of a token and its
-neighbours. It is trained by maximum likelihood on the small table that labelled_rows() makes, and decoded by Viterbi
-over batches of lines in numpy. An added span never touches one of the patterns' spans.
+The patterns give the kinds email, ip, card and phone. The field labels the tokens of every line with secret (keys, passwords,
+tokens), contact (spelled-out addresses) and number (local telephone and identity numbers); its features are word shapes,
+lengths and cue words of a token and its neighbours. It is trained by maximum likelihood on the small table that
+labelled_rows() makes, and decoded by Viterbi over batches of lines in numpy. An added span never touches one of the
+patterns' spans.
+
+For speed, a token's features are numbers of what the training has met, its scores are sums of rows of small tables, and
+Viterbi is left out where it is proved to give no span: a span's gain over no span is at most the sum of its tokens' bounds
+(the best other tag against none, with the best transitions), so a line on which no token has a bound over 0 has none.
 
 Defined results: null is an empty text without spans; positions are code points; ties go by kind in the order of KINDS;
-repeated rows are searched each; other columns are kept or not read; an empty table gives an empty table.
+repeated rows are searched each; very long texts and lines are read in slices, and each line is decoded as a whole; other
+columns are kept or not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"[0-9@=]| dot |\[dot\]|\(dot\)|[A-Z]{12}")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_TOKEN_OR_END = re.compile(r"\w+|[^\w\s]|\n")
 
 Span = tuple[int, int, str]
 
@@ -76,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def labelled_rows(seed: int = 11, rounds: int = 12) -> list[list[tuple[str, str]]]:
+def labelled_rows(seed: int = 11, rounds: int = 14) -> list[list[tuple[str, str]]]:
     """The small table: sentences as (token, tag), made from patterns with made-up words around them."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -89,9 +93,12 @@ def labelled_rows(seed: int = 11, rounds: int = 12) -> list[list[tuple[str, str]
         lambda: ("secret", f"AKIA{some(up * 4 + dig, 15)}{d(1)}", "", ""),
         lambda: ("secret", f"AKIA{some(up, 16)}", "", ""),
         lambda: ("secret", some(hexa, int(rng.integers(16, 48))), pick(["password=", "passwd=", "pwd=", "secret=", "api_key=", "token="]), ""),
+        lambda: ("secret", some(low, int(rng.integers(4, 9))) + d(int(rng.integers(6, 11))) + some(low, int(rng.integers(4, 9))), pick(["password=", "pwd=", "secret=", "token="]), ""),
         lambda: ("secret", some(hexa, int(rng.integers(24, 48))), pick(['token = "', 'secret = "', 'password: "', 'key = "']), '"'),
         lambda: ("secret", some(low + up + dig, int(rng.integers(20, 44))), pick(["", "key ", "token: "]), ""),
         lambda: ("contact", f"{word()} at {word()} dot {pick(['com', 'org', 'net'])}", pick(["", "mail ", "contact: "]), ""),
+        lambda: ("contact", f"{word()} at {word()} dot {pick(['com', 'org', 'net'])}", pick(["write to ", "to ", "via "]), pick([" or", " and", ""])),
+        lambda: ("contact", f"{word()} AT {word()} DOT {pick(['com', 'org', 'net'])}", pick(["", "mail ", "reach me: "]), ""),
         lambda: ("contact", f"{word()}[at]{word()}[dot]{pick(['com', 'org', 'net'])}", "", ""),
         lambda: ("contact", f"{word()} (at) {word()} (dot) {pick(['com', 'org', 'net'])}", "", ""),
         lambda: ("number", f"{d(3)}-{d(3)}-{d(4)}", pick(["", "call ", "tel ", "phone: "]), ""),
@@ -102,6 +109,23 @@ def labelled_rows(seed: int = 11, rounds: int = 12) -> list[list[tuple[str, str]
         lambda: ("", f"{d(2)}:{d(2)}", "", ""),
         lambda: ("", f"{d(int(rng.integers(1, 4)))} {word()}", pick(["", "page ", "chapter ", "$"]), ""),
         lambda: ("", f"{d(int(rng.integers(1, 3)))}-{d(int(rng.integers(1, 3)))}", "", ""),
+        lambda: ("", word(), "", ""),
+        lambda: ("", f"{word().capitalize()} {word().upper()}", "", ""),
+        lambda: ("", f"{word()}, {word()}: {word()} ({word()}) - {word()}/{word()}", "", ""),
+        lambda: ("", f'"{word()}" {word()}; [{word()}] {word()}!', "", ""),
+        lambda: ("", f"{word()} {pick(['at', 'AT', '(at)', '[at]'])} {word()}", "", ""),
+        lambda: ("", f"{word()} at {word()}. {word().capitalize()} dot {word()}", "", ""),
+        lambda: ("", f"{word()} {pick(['dot', 'DOT', '(dot)'])} {pick(['com', 'org', 'net'])}", "", ""),
+        lambda: ("", f"{pick(['key', 'token', 'secret', 'password', 'mail', 'call', 'id', 'phone'])} {word()}", "", ""),
+        lambda: ("", f"{word()}.{pick(['com', 'org', 'net'])} {word()}", "", ""),
+        lambda: ("", "-" * int(rng.integers(2, 30)), "", ""),
+        lambda: ("", f"{word()}{d(1)} {up[int(rng.integers(26))]}{d(2)}", "", ""),
+        lambda: ("", some(low, int(rng.integers(11, 24))), "", ""),
+        lambda: ("", some(up, int(rng.integers(11, 24))), "", ""),
+        lambda: ("", " ".join([pick(["at", "dot", "no", "com", "id", "AT", "DOT", "NO"])] * int(rng.integers(2, 13))), "", ""),
+        lambda: ("", " ".join([word(), *["at"] * int(rng.integers(2, 9)), word()]), "", ""),
+        lambda: ("", f"{word().upper()}. {pick(['AT', 'NO', 'DOT', 'ID', 'COM'])} {word().upper()} {pick(['NO', 'AT', 'ABOUT', 'DOT'])} {word().upper()}", "", ""),
+        lambda: ("", f"{word()}### {pick(['at', 'no', 'dot'])}%%% {pick(['at', 'no', 'com'])}%%% {word()}", "", ""),
         lambda: ("", f"{word()} at the {word()}", "", ""),
         lambda: ("", f"{word()} dot {word()}", "", ""),
         lambda: ("", f"{word()} = {word()}", "", ""),
@@ -142,20 +166,33 @@ def _length(n: int) -> str:
     return str(n) if n < 5 else "5-9" if n < 10 else "10-15" if n < 16 else "16+"
 
 
-@lru_cache(maxsize=50_000)
+_PADS = [("^", "", "", ""), ("$", "", "", "")]
+
+
 def _own(token: str) -> tuple[str, str, str, str]:
+    """Shape, length with kinds of characters, cue and beginning of a token."""
     low = token.lower() if len(token) < 12 else ""
     kinds = "X" * (token != token.lower()) + "x" * (token != token.upper()) + "d" * bool(_DIGIT.search(token))
     return shape(token), f"{_length(len(token))}{kinds}", low if low in CUES else "", token[:4] if len(token) > 15 else ""
 
 
+#: The features of a token by what they are taken from: itself, one and two tokens before, one and two tokens after it.
+_OF_OWN = lambda o: (f"s0={o[0]}", f"l0={o[1]}", f"p0={o[3]}", f"sl={o[0]}|{o[1]}", f"c0={o[2]}")
+_OF_LAST = lambda o: (f"s-={o[0]}|{o[1]}", f"c-={o[2]}")
+_OF_SECOND_LAST = lambda o: (f"c--={o[2]}",)
+_OF_NEXT = lambda o: (f"s+={o[0]}|{o[1]}", f"c+={o[2]}")
+_OF_SECOND_NEXT = lambda o: (f"c++={o[2]}",)
+_SHAPES = lambda a, b, c: f"ss={a}|{b}|{c}"
+_CUED = lambda a, b, o: f"cc={a} {b}|{o[0]}|{o[1]}"
+
+
 def features(tokens: list[str]) -> list[list[str]]:
     """A list of features for each token: its shape, length and cue, and those of its neighbours."""
-    own = [("^", "", "", ""), ("^", "", "", ""), *(_own(t) for t in tokens), ("$", "", "", ""), ("$", "", "", "")]
+    own = [_PADS[0], _PADS[0], *(_own(t) for t in tokens), _PADS[1], _PADS[1]]
     return [
         [
-            f"s0={own[i][0]}", f"l0={own[i][1]}", f"p0={own[i][3]}", f"sl={own[i][0]}|{own[i][1]}", f"c0={own[i][2]}", f"s-={own[i - 1][0]}|{own[i - 1][1]}", f"c-={own[i - 1][2]}", f"c--={own[i - 2][2]}",
-            f"s+={own[i + 1][0]}|{own[i + 1][1]}", f"c+={own[i + 1][2]}", f"c++={own[i + 2][2]}", f"ss={own[i - 1][0]}|{own[i][0]}|{own[i + 1][0]}", f"cc={own[i - 2][2]}{own[i - 1][2]}|{own[i][0]}|{own[i][1]}",
+            *_OF_OWN(own[i]), *_OF_LAST(own[i - 1]), *_OF_SECOND_LAST(own[i - 2]), *_OF_NEXT(own[i + 1]), *_OF_SECOND_NEXT(own[i + 2]),
+            _SHAPES(own[i - 1][0], own[i][0], own[i + 1][0]), _CUED(own[i - 2][2], own[i - 1][2], own[i]),
         ]
         for i in range(2, len(tokens) + 2)
     ]
@@ -208,40 +245,126 @@ class Field:
                 b += 0.01 * (g * g - b)
                 v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         w[-1] = 0  # features not met in training
+        self._tables([[_PADS[0], _PADS[0], *(_own(t) for t, _ in row), _PADS[1], _PADS[1]] for row in rows])
+
+    def _tables(self, met: list[list[tuple[str, str, str, str]]]) -> None:
+        """Numbers of what the training has met (0: nothing it has), and score tables over them. met: rows with their pads."""
+        every = [o for row in met for o in row]
+        number = lambda xs: {x: i for i, x in enumerate(sorted(set(xs)), 1)}
+        self.shape_no, self.sl_no = number(o[0] for o in every), number(o[:2] for o in every)
+        self.length_no, self.begin_no, self.cue_no = number(o[1] for o in every), number(o[3] for o in every), number([*CUES, ""])
+        self.class_no: dict[tuple[int, ...], int] = {}
+        self.of_token: dict[str, int] = {"\n": -1}
+        self.rows: list[list[np.ndarray]] = [[] for _ in range(5)]
+        self.parts: list[tuple[int, int, int]] = []  # shape, shape with length, cue of each class
+        self.stacked = None
+        shapes, cues, none = len(self.shape_no) + 1, len(self.cue_no) + 1, np.zeros(len(self.tags))
+        self.triple, self.joint, triples, cued, joint = np.zeros((shapes, shapes, shapes), np.int32), np.zeros((cues, cues), np.int32), [none], {}, 0
+        for row in met:
+            for a, b, o, c in zip(row, row[1:], row[2:-1], row[3:], strict=False):
+                at = tuple(self.shape_no[x[0]] for x in (b, o, c))
+                if not self.triple[at]:
+                    self.triple[at] = len(triples)
+                    triples.append(self._weight(_SHAPES(b[0], o[0], c[0])))
+                at = self.cue_no[a[2]], self.cue_no[b[2]]
+                if not self.joint[at]:
+                    joint += 1
+                    self.joint[at] = joint
+                cued[self.joint[at], self.sl_no[o[:2]]] = self._weight(_CUED(a[2], b[2], o))
+        self.cued = np.zeros((joint + 1, len(self.sl_no) + 1), np.int32)
+        for i, at in enumerate(cued, 1):
+            self.cued[at] = i
+        self.triples, self.pairs = np.array(triples, np.float32), np.array([none, *cued.values()], np.float32)
+        self.first_pad, self.last_pad = (self._class(o) for o in _PADS)
+        # The best transition to a tag, and from any tag back, against staying without one.
+        self.into = np.maximum(np.where(self.allowed, self.t, -np.inf).max(0) - self.t[0, 0], 0).astype(np.float32)[1:]
+        self.back = max(0.0, float((self.t[1:, 0] - self.t[0, 0]).max()))
+
+    def _weight(self, feature: str) -> np.ndarray:
+        return self.w[self.names.get(feature, len(self.names))]
+
+    def _class(self, own: tuple[str, str, str, str]) -> int:
+        """The number of all tokens with the same known features."""
+        key = (self.shape_no.get(own[0], 0), self.sl_no.get(own[:2], 0), self.cue_no[own[2]], self.length_no.get(own[1], 0), self.begin_no.get(own[3], 0))
+        if (no := self.class_no.get(key)) is None:
+            no = self.class_no[key] = len(self.parts)
+            self.parts.append(key[:3])
+            for rows, of in zip(self.rows, (_OF_OWN, _OF_LAST, _OF_SECOND_LAST, _OF_NEXT, _OF_SECOND_NEXT), strict=True):
+                rows.append(sum(self._weight(f) for f in of(own)).astype(np.float32))
+            self.stacked = None
+        return no
+
+    def classes(self, tokens: list[str]) -> list[int]:
+        """The class of each token; -1 for the end of a line."""
+        if len(self.of_token) > TOKENS:
+            self.of_token = {"\n": -1}
+        known = self.of_token
+        new = {t: self._class(_own(t)) for t in set(tokens).difference(known)}
+        known.update(x for x in new.items() if len(x[0]) <= 64)
+        if any(len(t) > 64 for t in new):
+            return [known[t] if t in known else new[t] for t in tokens]
+        return list(map(known.__getitem__, tokens))
+
+    def emissions(self, line: np.ndarray) -> np.ndarray:
+        """n x tags for classes with two pads on either side of each line."""
+        if self.stacked is None:
+            self.stacked = [np.array(r, np.float32) for r in self.rows], np.array(self.parts, np.int64).T
+        (own, last, last2, after, after2), (shapes, sl, cue) = self.stacked
+        out = own[line]
+        out[1:] += last[line[:-1]]
+        out[2:] += last2[line[:-2]]
+        out[:-1] += after[line[1:]]
+        out[:-2] += after2[line[2:]]
+        s, c = shapes[line], cue[line]
+        out[1:-1] += self.triples[self.triple[s[:-2], s[1:-1], s[2:]]]
+        out[2:] += self.pairs[self.cued[self.joint[c[:-2], c[1:-1]], sl[line[2:]]]]
+        return out
+
+    def may_span(self, emit: np.ndarray) -> np.ndarray:
+        """Which tokens have a bound over 0 (less a margin for rounding)."""
+        return (emit[:, 1:] + self.into).max(1) + self.back > emit[:, 0] - 1e-2
 
-    def decode(self, lines: list[list[str]], batch: int = 256) -> list[list[str]]:
-        """The likeliest tags of each line, by Viterbi over batches of lines of like length."""
-        out: list[list[str]] = [[]] * len(lines)
-        order = sorted((i for i in range(len(lines)) if lines[i]), key=lambda i: len(lines[i]))
-        tt, none = np.where(self.allowed, self.t, -1e9), len(self.names)
+    def viterbi(self, emits: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
+        """The numbers of the likeliest tags of each line, over batches of lines of like length."""
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(emits)
+        order = sorted((i for i in range(len(emits)) if len(emits[i])), key=lambda i: len(emits[i]))
+        tt = np.where(self.allowed, self.t, -1e9).astype(np.float32)
         s = 0
         while s < len(order):
             e = s + 1
-            while e < len(order) and e - s < batch and len(lines[order[e]]) * (e - s + 1) < 100_000:
+            while e < len(order) and e - s < batch and len(emits[order[e]]) * (e - s + 1) < 100_000:
                 e += 1
             some = order[s:e]
-            longest, slots = len(lines[some[-1]]), None
-            emit = np.zeros((len(some), longest, len(self.tags)))
+            length = np.array([len(emits[i]) for i in some])
+            emit = np.zeros((length[-1], len(some), len(self.tags)), np.float32)
             for k, i in enumerate(some):
-                ids = np.array([[self.names.get(f, none) for f in fs] for fs in features(lines[i])])
-                emit[k, : len(ids)] = self.w[ids].sum(1)
-            best, came = emit[:, 0] + np.where(self.first, 0, -1e9), np.zeros((longest, len(some), len(self.tags)), np.int8)
-            length = np.array([len(lines[i]) for i in some])
-            for j in range(1, longest):
+                emit[: length[k], k] = emits[i]
+            best, came = emit[0] + np.where(self.first, 0, np.float32(-1e9)), np.zeros(emit.shape, np.int8)
+            for j in range(1, len(emit)):
                 step = best[:, :, None] + tt[None]
                 came[j] = step.argmax(1)
-                best = np.where((j < length)[:, None], step.max(1) + emit[:, j], best)
+                best = np.where((j < length)[:, None], step.max(1) + emit[j], best)
             tag = best.argmax(1)
-            path = np.zeros((len(some), longest), int)
-            for j in range(longest - 1, -1, -1):
+            path = np.zeros((len(some), len(emit)), np.int8)
+            for j in range(len(emit) - 1, -1, -1):
                 path[:, j] = tag
                 if j:
                     tag = np.where(j < length, came[j][np.arange(len(some)), tag], tag)
             for k, i in enumerate(some):
-                out[i] = [self.tags[v] for v in path[k, : length[k]]]
+                out[i] = path[k, : length[k]]
             s = e
         return out
 
+    def decode(self, lines: list[list[str]]) -> list[list[str]]:
+        """The likeliest tags of each line of tokens."""
+        pad = lambda x: np.array([self.first_pad] * 2 + x + [self.last_pad] * 2, np.int64)
+        emits = [self.emissions(pad(self.classes(x)))[2:-2] for x in lines]
+        return [[self.tags[k] for k in path] for path in self.viterbi(emits)]
+
+
+#: Tokens whose class a worker remembers, and characters of a text that are split into tokens at once.
+TOKENS, SLICE = 200_000, 1 << 20
+
 
 _FIELD: list[Field] = []
 
@@ -253,35 +376,83 @@ def field() -> Field:
     return _FIELD[0]
 
 
-def spans(texts: list[str | None], model: Field) -> list[list[tuple[int, int, str, bool]]]:
-    """(start, end, kind, whether a pattern found it) in each text, in order."""
-    base = [base_spans(t) if t else [] for t in texts]
-    lines, where = [], []
-    for i, text in enumerate(texts):
-        if not text or not _CUE.search(text):
+def _classed(text: str, model: Field) -> np.ndarray:
+    """Classes of the text's tokens, a slice at a time; -1 at the ends of lines."""
+    if len(text) <= SLICE:
+        return np.array(model.classes(_TOKEN_OR_END.findall(text)), np.int32)
+    out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + SLICE)
+        while end < len(text) and (text[end].isalnum() or text[end] == "_"):  # not within a word
+            end += 1
+        out.append(np.array(model.classes(_TOKEN_OR_END.findall(text, at, end)), np.int32))
+        at = end
+    return np.concatenate(out)
+
+
+def _lined(classed: list[np.ndarray], model: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of all texts with pads around each line, first token of each line, index of each text's first line)."""
+    flat = np.concatenate([x for c in classed for x in (c, np.array([-1], np.int32))])
+    ends = np.flatnonzero(flat == -1)
+    wide = np.repeat(flat.astype(np.int64), np.where(flat == -1, 4, 1))
+    at = ends + 3 * np.arange(len(ends))
+    for i, pad in enumerate((model.last_pad, model.last_pad, model.first_pad, model.first_pad)):
+        wide[at + i] = pad
+    wide = np.concatenate([np.full(2, model.first_pad, np.int64), wide[:-2]])
+    n = np.array([np.count_nonzero(c == -1) + 1 for c in classed])
+    return wide, np.concatenate([[2], at[:-1] + 6]), np.concatenate([[0], np.cumsum(n)])
+
+
+def added_spans(texts: list[str | None], model: Field) -> list[list[Span]]:
+    """(start, end, kind) of the field's spans in each text."""
+    out: list[list[Span]] = [[] for _ in texts]
+    wide, first, of_text = _lined([_classed(t or "", model) for t in texts], model)
+    last = np.append(first[1:] - 4, len(wide) - 2)
+    text, emits, which, s = np.repeat(np.arange(len(texts)), np.diff(of_text)), [], [], 0
+    while s < len(first):  # lines of about a slice at once
+        e = max(s + 1, int(np.searchsorted(first, first[s] + SLICE)))
+        a, b = int(first[s]) - 2, int(last[e - 1]) + 2
+        cuts = [(max(a, i - 2), i) for i in range(a, b, SLICE)]  # slices reach as far as features do
+        emit = np.concatenate([model.emissions(wide[lo : min(b, i + SLICE + 2)])[i - lo :][:SLICE] for lo, i in cuts])
+        hit = np.flatnonzero(model.may_span(emit)) + a
+        line = np.searchsorted(first, hit, "right") - 1
+        for i in np.unique(line[(line >= 0) & (hit < last[line])]).tolist():
+            emits.append(emit[first[i] - a : last[i] - a].copy())
+            which.append(i)
+        s = e
+    at_line: dict[int, list[int]] = {}
+    for i, path in zip(which, model.viterbi(emits), strict=True):
+        if not path.any():
             continue
-        at = 0
-        for line in text.split("\n"):
-            if _CUE.search(line):
-                lines.append([(m[0], m.start() + at, m.end() + at) for m in _TOKEN.finditer(line)])
-                where.append(i)
-            at += len(line) + 1
-    out = [[(*s, True) for s in b] for b in base]
-    for i, line, tags in zip(where, lines, model.decode([[t for t, _, _ in x] for x in lines]), strict=True):
+        t = int(text[i])
+        if t not in at_line:
+            at_line.clear()
+            ends = [m.start() + 1 for m in re.finditer("\n", texts[t])]
+            at_line[t] = [0, *ends, len(texts[t]) + 1]
+        k = i - of_text[t]
+        tokens = [m.span() for m in _TOKEN.finditer(texts[t], at_line[t][k], at_line[t][k + 1] - 1)]
         k = 0
-        while k < len(tags):
-            if not tags[k].startswith("B-"):
+        while k < len(path):
+            tag = model.tags[path[k]]
+            if not tag.startswith("B-"):
                 k += 1
                 continue
             e = k + 1
-            while e < len(tags) and tags[e] == "I-" + tags[k][2:]:
+            while e < len(path) and model.tags[path[e]] == "I-" + tag[2:]:
                 e += 1
-            start, end = line[k][1], line[e - 1][2]
-            spelled = {t.lower() for t, _, _ in line[k:e]} >= {"at", "dot"}
-            if (spelled or tags[k] != "B-contact") and all(end <= s or start >= t for s, t, _ in base[i]):
-                out[i].append((start, end, tags[k][2:], False))
+            out[t].append((tokens[k][0], tokens[e - 1][1], tag[2:]))
             k = e
-    return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
+    return out
+
+
+def spans(texts: list[str | None], model: Field) -> list[list[tuple[int, int, str, bool]]]:
+    """(start, end, kind, whether a pattern found it) in each text, in order."""
+    out = []
+    for text, more in zip(texts, added_spans(texts, model), strict=True):
+        base = base_spans(text) if text else []
+        new = [(*m, False) for m in more if all(m[1] <= s or m[0] >= t for s, t, _ in base)]
+        out.append(sorted([*((*s, True) for s in base), *new], key=lambda s: (s[0], KINDS.index(s[2]))))
+    return out
 
 
 SPANS = "array<struct<start: bigint, end: bigint, kind: string, base: boolean>>"
