@@ -4,9 +4,11 @@ What is kept depends on the hash alone, so sketches of parts merge by union, and
 one can be estimated. A fingerprint reads ``count.digest.sketch``: the number of distinct shingles, a digest of all of
 them, and the kept 48-bit hashes in order, six bytes each, in base 64. Shingles are five words, A-Z lower-cased.
 
-Defined results: null is an empty text, which has no shingle; fewer than five words are one shingle. Two fingerprints with
-no kept hash are alike (1.0) if their counts and digests are equal and unlike (0.0) otherwise. Rows in order: by id, null
-ids first, then by text. Repeated rows each get their own next row. Other columns are not read.
+Defined results: null is an empty text, which has no shingle; fewer than five words are one shingle; very long texts are
+fingerprinted whole, their words in chunks. Two fingerprints with no kept hash are alike (1.0) if their counts and digests are
+equal and unlike (0.0) otherwise. Rows in order: by id, null ids first, then by the text's 64-bit hash, then by their place
+in the table, so that rows of one id, and copies of one row, can be dealt to several tasks. Repeated rows each get their own
+next row. Other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -85,36 +87,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return small.mapInArrow(kernels.trimmed(run), f"`{id_col}` {id_type}, fingerprint string")
 
 
+#: Keys that the driver gets for each bucket, on average, to find the buckets' bounds.
+SAMPLED = 32
+
+
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, flag, id, text): buckets are ranges of ids; each also holds the row that follows it (flag 1; 2: the first row
-    after the last). One shuffle of the texts, dealt by bucket; only one row a bucket goes twice."""
-    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(bucket, flag, id, h, v, text): buckets are ranges of (id, h: hash of the text, v: hash of the place in the table); each also
+    holds the row that follows it (flag 1; 2: the first row after the last).
+
+    One shuffle of the texts, dealt by bucket; only one row a bucket goes twice. Bounds come from a sample of keys whose size
+    is a parameter, so a hot id, many null ids or a hot row take as many buckets as their share asks for. docs is read three
+    times and must have the same rows in the same places each time, as a table has.
+    """
+    v = F.xxhash64(F.monotonically_increasing_id())  # a bijection: no two rows share it
+    small = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), v.alias("v")).withColumn("h", F.xxhash64("text"))
     n = max(16, 4 * int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = small.select("id")
-    bounds = np.unique(np.array(ids.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)) or [], float))
+    keys = small.select("id", "h", "v")
+    share = min(1.0, SAMPLED * n / max(1, keys.count()))
+    known = lambda pdf: (pdf["id"].isna().to_numpy() ^ True, pdf["id"].fillna(0).to_numpy(np.int64), pdf["h"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64))
+    sample = known(keys.filter(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)).toPandas().astype({"id": "Int64"}))
+    ordered = np.lexsort(sample[::-1])
+    picks = ordered[np.unique(np.linspace(0, len(ordered) - 1, n + 1).astype(int)[1:-1])] if len(ordered) else ordered
+    bounds = [c[picks] for c in sample]
+
+    def places(id_: pd.Series, h: pd.Series, v_: pd.Series) -> np.ndarray:
+        """How many bounds stand at each key or before it."""
+        own = known(pd.DataFrame({"id": id_.astype("Int64"), "h": h, "v": v_}))
+        both = [np.concatenate([b, o]) for b, o in zip(bounds, own, strict=True)]
+        order = np.lexsort([np.arange(len(both[0])), *both[::-1]])  # a bound before its equal
+        seen = np.cumsum(order < len(picks))
+        out = np.zeros(len(order), np.int32)
+        out[order] = seen
+        return out[len(picks) :]
 
     @F.pandas_udf(IntegerType())
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.fillna(-np.inf).to_numpy(float), "right").astype("int32"))
+    def bucket(id_: pd.Series, h: pd.Series, v_: pd.Series) -> pd.Series:
+        return pd.Series(places(id_, h, v_))
 
-    first = {r["b"]: (r["nulls"] > 0, r["least"]) for r in ids.groupBy(bucket("id").alias("b")).agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()}
+    least = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "h", "v")).alias("least")
+    first = {r["b"]: (r["least"]["id"], r["least"]["h"], r["least"]["v"]) for r in keys.groupBy(bucket("id", "h", "v").alias("b")).agg(least).collect()}
     there = sorted(first)
-    before = {b: there[i - 1] for i, b in enumerate(there)}
+    before = {first[b][2]: (there[i - 1], 2 if i == 0 else 1) for i, b in enumerate(there)}  # by v of a bucket's first row
     goals = ArrayType(StructType([StructField("bucket", IntegerType()), StructField("flag", IntegerType())]))
 
     @F.pandas_udf(goals)
-    def targets(x: pd.Series) -> pd.Series:
-        out = []
-        null = x.isna().to_numpy()
-        for b, i, v in zip(np.searchsorted(bounds, x.fillna(-np.inf).to_numpy(float), "right").tolist(), null, x, strict=True):
-            to = [{"bucket": b, "flag": 0}]
-            if i if first[b][0] else v == first[b][1]:
-                to.append({"bucket": before[b], "flag": 2 if b == there[0] else 1})
-            out.append(to)
-        return pd.Series(out)
+    def targets(id_: pd.Series, h: pd.Series, v_: pd.Series) -> pd.Series:
+        own = places(id_, h, v_).tolist()
+        more = [before.get(x) for x in v_.tolist()]
+        return pd.Series([[{"bucket": b, "flag": 0}] + ([{"bucket": m[0], "flag": m[1]}] if m else []) for b, m in zip(own, more, strict=True)])
 
-    dealt = small.select("id", "text", F.explode(targets("id")).alias("t")).select("t.bucket", "t.flag", "id", "text")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "flag", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = small.select("id", "h", "v", "text", F.explode(targets("id", "h", "v")).alias("t")).select("t.bucket", "t.flag", "id", "h", "v", "text")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "flag", F.col("id").asc_nulls_first(), "h", "v")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -129,7 +152,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 bucket, flag, ids = (part.column(i).to_pylist() for i in range(3))
-                texts = [t or "" for t in part.column(3).to_pylist()]
+                texts = part.column(5).to_pylist()
                 rows = list(zip(bucket, flag, ids, texts, sketches(texts, k, fraction), strict=True))
                 pairs = [(a, b) for a, b in zip(([last] if last else []) + rows[:-1], rows if last else rows[1:], strict=True) if not a[1]]
                 last = rows[-1] if rows else last
