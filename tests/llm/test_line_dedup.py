@@ -44,11 +44,17 @@ def test_random_runs(spark):
 
 def test_query(spark):
     rows = table(columns="doc_id, text")
-    want = brute([(i, t) for i, t in rows if len(t) < 20_000], 50)
+    want = brute(rows, 50)
     got = {r.doc_id: r for r in queries.op8_line_dedup(spark, "/root/testdata/sf0.001").collect()}
-    assert len(got) == len(rows)
-    if len(want) == len(rows):
-        assert all(got[i].text == x for (i, _), x in want.items())
+    assert len(got) == len(rows) == len(want)
+    assert all(got[i].text == x for (i, _), x in want.items())
+
+
+def test_a_document_of_very_many_lines(spark):
+    lines = [f"line {i} has its words" for i in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["head", *lines[100:20_000], "tail"])), (3, "x")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "head\ntail" and got[2]["__n_removed"] == 19_900
 
 
 def test_main_path_is_native(spark):
