@@ -157,7 +157,7 @@ class PrefixBPE:
         """The ids of " " + x. Letters, with one mark after them or none, are one match, and the mark is another."""
         bare, mark = (x[:-1], x[-1]) if x and x[-1] in ",.;:!?" else (x, "")
         if bare.isalpha() and max(bare) < "\u0180":
-            ids = self.chunks.get(bare) if mark else None
+            ids = self.chunks.data.get(bare) if mark else None
             return (self.piece(" " + bare) if ids is None else ids) + (self.mark(mark) if mark else b"")
         return self.matches(" " + x)
 
@@ -170,10 +170,10 @@ class PrefixBPE:
         if "  " in text:
             return self.matches(text)
         head, *rest = text.split(" ")
-        known, new = self.chunks, {}
+        known, new = self.chunks.data, {}
         if missing := set(rest).difference(known):
             new = {x: self.after_blank(x) for x in missing}
-            if known.keep(new):
+            if self.chunks.keep(new):
                 new = {}
         out = [known[x] if x in known else new[x] for x in rest] if new else map(known.__getitem__, rest)
         return (self.matches(head) if head else b"") + b"".join(out)

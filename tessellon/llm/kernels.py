@@ -28,10 +28,11 @@ MEMORIES: dict = {}
 ENTRY = 190
 
 
-class Remembered(dict):
-    """A dictionary of at most so many bytes; what comes after that isn't kept."""
+class Remembered:
+    """A plain dictionary (data; sets differ from it fast) of at most so many bytes; what comes after that isn't kept."""
 
     def __init__(self, most: int):
+        self.data: dict[str, bytes] = {}
         self.room = most
 
     def keep(self, new: dict[str, bytes]) -> bool:
@@ -40,7 +41,7 @@ class Remembered(dict):
         if size > self.room:
             return False
         self.room -= size
-        self.update(new)
+        self.data.update(new)
         return True
 
 

@@ -39,7 +39,7 @@ from tessellon.llm.scratch import materialize
 CAPACITY = 2048
 GROUPS = 4096
 #: Bytes that a worker keeps of encoded words and of their letters; beyond it they are encoded again.
-WORDS_BYTES, LETTERS_BYTES = 80 << 20, 32 << 20
+WORDS_BYTES, LETTERS_BYTES = 56 << 20, 56 << 20
 #: The rules of a tokenizer under which no token reaches over white space or from letters to marks.
 _LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -85,25 +85,40 @@ class WordEncoder:
         self.by_words = cut_at_blanks(spec)
         self.known, self.letters = kernels.Remembered(WORDS_BYTES), kernels.Remembered(LETTERS_BYTES)
         self.marks = dict(zip(",.;:!?", self._whole(list(",.;:!?")), strict=True))
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _many(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text of them all with bars between, which only a bar gives."""
+        if self.bar is None or len(words) < 2:
+            return self._whole(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends, raw = [4 * i for i in np.flatnonzero(ids == self.bar).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+
     def _words(self, words: set[str]) -> dict[str, bytes]:
         """Letters, with one mark after them or none, are letters' ids and the mark's: letters and marks never share a token."""
-        split, other = {}, []
+        split, other, barred = {}, [], []
         for w in words:
             mark = w[-1]
+            if "|" in w:
+                barred.append(w)
+                continue
             bare = w[:-1] if mark in self.marks else w
             if bare.isalpha():
                 split[w] = (bare.lower(), self.marks.get(mark, b""))
             else:
                 other.append(w)
-        new = [x for x in {b for b, _ in split.values()} if x not in self.letters]
-        ids = dict(zip(new, self._whole(new), strict=True))
-        out = {w: (ids[b] if b in ids else self.letters[b]) + m for w, (b, m) in split.items()}
+        letters = self.letters.data
+        new = list({b for b, _ in split.values()}.difference(letters))
+        ids = dict(zip(new, self._many(new), strict=True))
+        out = {w: (ids[b] if b in ids else letters[b]) + m for w, (b, m) in split.items()}
         self.letters.keep(ids)
-        out.update(zip(other, self._whole(other), strict=True))
+        out.update(zip(other, self._many(other), strict=True))
+        out.update(zip(barred, self._whole(barred), strict=True))
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -111,10 +126,10 @@ class WordEncoder:
             return b""
         if not self.by_words or "<|" in text or not plain(text):
             return self._whole([text])[0]
-        words, known, new = text.split(), self.known, {}
+        words, known, new = text.split(), self.known.data, {}
         if missing := set(words).difference(known):
             new = self._words(missing)
-            if known.keep(new):
+            if self.known.keep(new):
                 new = {}
         return b"".join([known[w] if w in known else new[w] for w in words] if new else map(known.__getitem__, words))
 
