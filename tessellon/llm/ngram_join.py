@@ -14,7 +14,8 @@ hold more allocation than E, and a set that has at most E in light segments leav
 another. A set with more leaves nothing out, so two of them meet in light ones too.
 
 Signatures are made twice: first without ids, to find those that different sets share, then with ids, but only of those, told
-by a bitmap of bounded size (where it fills up, more rows are shuffled, no fewer results come). Candidates are narrowed by
+by a bitmap of bounded size (where it fills up, more rows are shuffled, no fewer results come). The first time they are
+shuffled in blobs by ranges, five bytes each; only sets that a bitmap says may have equals bring their hash along. Candidates are narrowed by
 a 512-bit parity map (its Hamming distance is at most the sets' difference) and verified on the whole sets of 64-bit
 shingle hashes. Links are explored by components, never by all pairs of a group: equal sets count as one; in some rounds,
 each set is tried against a set of the first component of a signature, which links most copies; then all pairs from
@@ -46,6 +47,8 @@ from tessellon.llm.scratch import made, materialize, release_since
 WORDS = 5
 PERCENT = 80
 LONGS = 8
+#: Bits of a signature. Chance equals only make more candidates.
+SIGNATURE = 48
 ROWS = 512
 #: A chance pair costs as much as so many signatures, and one more for so many shingles.
 PAIR_COST, PAIR_SHINGLES = 1.0, 500
@@ -147,7 +150,7 @@ class Signer:
                 s, d = self._band(int(g), value, bounds, in_g, n[in_g])
                 sigs.append(s)
                 docs.append(d)
-        return (np.concatenate(sigs), np.concatenate(docs)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return (np.concatenate(sigs) >> np.uint64(64 - SIGNATURE), np.concatenate(docs)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def _band(self, g: int, value: np.ndarray, bounds: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b, m, k = self.plan[g], self.plan[g].segments, len(which)
@@ -269,35 +272,82 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return clear.unionByName(docs.filter(maybe).join(ids, id_col, "left_anti").select(*docs.columns))
 
 
-def shared_signatures(docs: DataFrame, signer: Signer, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig): the signatures of two different sets at least. The shuffle carries a signature and a set's hash."""
-    small = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
+def _five(x: np.ndarray) -> bytes:
+    """Numbers below 2**40 as five bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (batch.column(0)[s : s + 4 * ROWS] for batch in batches for s in range(0, batch.num_rows, 4 * ROWS)):
-            sigs, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for s in range(0, len(part), ROWS):
-                value, bounds = token_sets(part[s : s + ROWS], k)
+
+def _from_five(blobs: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    return np.pad(raw, ((0, 0), (0, 3))).view("<u8").ravel()
+
+
+def _twice(single: np.ndarray, value: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Values that occur in two sets at least: each single is of a set of its own, value[i] of the set own[i]."""
+    order = np.lexsort((own, value))
+    value, own = value[order], own[order]
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
+    found, n = np.unique(np.concatenate([single, value[keep]]), return_counts=True)
+    return found[n > 1]
+
+
+def shared_signatures(docs: DataFrame, signer: Signer, alike: Bitmap, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(sig): the signatures of two different sets at least. alike: ids whose set may have equals.
+
+    A batch sends a signature on for each set, but twice at most where the sets have no equals.
+    """
+    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    bits = min(20, max(8, (8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    shift, none = np.uint64(SIGNATURE - bits), np.zeros(0, np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(s, 4 * ROWS) for batch in batches for s in range(0, batch.num_rows, 4 * ROWS)):
+            may = alike.may_have(part.column(0).to_numpy())
+            singles, values, owns = [none], [none], [none]
+            for s in range(0, part.num_rows, ROWS):
+                value, bounds = token_sets(part.column(1)[s : s + ROWS], k)
                 sig, doc = signer.sign(value, bounds)
-                sigs.append(sig)
-                sets.append(_sums(kernels.mix(value + np.uint64(5)), bounds)[doc])
-            sig, own = np.concatenate(sigs), np.concatenate(sets)
-            order = np.argsort(sig)
-            sig, own = sig[order], own[order]
-            keep = np.ones(len(sig), bool)  # of a signature's sets, a batch sends on one, or two different ones
-            keep[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-            run_of = np.cumsum(np.concatenate([np.zeros(1, np.int64), sig[1:] != sig[:-1]])[: len(sig)])
-            start = np.searchsorted(run_of, np.arange(run_of[-1] + 1)) if len(sig) else np.zeros(0, np.int64)
-            first = own[start][run_of] if len(sig) else own
-            other = keep & (own != first)
-            lead = np.zeros(len(sig), bool)
-            lead[start] = True
-            _, second = np.unique(run_of[other], return_index=True)
-            lead[np.flatnonzero(other)[second]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(sig[lead].view(np.int64)), pa.array(own[lead].view(np.int64))], names=["sig", "own"])
-
-    raw = small.mapInArrow(kernels.trimmed(run), "sig long, own long")
-    return raw.groupBy("sig").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("sig")
+                plain = ~may[s + doc]
+                singles.append(sig[plain])
+                values.append(sig[~plain])
+                owns.append(_sums(kernels.mix(value + np.uint64(5)), bounds)[doc[~plain]])
+            single = np.sort(np.concatenate(singles))
+            single = single[np.concatenate([np.ones(min(2, len(single)), bool), single[2:] != single[:-2]])]
+            value, own = np.concatenate(values), np.concatenate(owns)
+            order = np.lexsort((own, value))
+            value, own = value[order], own[order]
+            new = np.ones(len(value), bool)
+            new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
+            value, own = value[new], own[new]
+            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << shift
+            a, b = np.searchsorted(single, edges), np.searchsorted(value, edges)
+            at = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+            mask = (np.uint64(1) << shift) - np.uint64(1)
+            data = [[_five(single[a[i] : a[i + 1]] & mask) for i in at], [_five(value[b[i] : b[i + 1]] & mask) for i in at], [own[b[i] : b[i + 1]].tobytes() for i in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(d, pa.binary()) for d in data)], names=["range", "single", "value", "own"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have = None, []
+
+        def found() -> pa.RecordBatch:
+            single, value, own = zip(*have, strict=True)
+            both = _twice(_from_five(single), _from_five(value), np.frombuffer(b"".join(own), np.uint64))
+            have.clear()
+            return pa.RecordBatch.from_arrays([pa.array((both | (np.uint64(now) << shift)).view(np.int64))], names=["sig"])
+
+        for batch in batches:
+            ranges = batch.column(0).to_numpy()
+            for i, blobs in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                if have and ranges[i] != now:
+                    yield found()
+                now = int(ranges[i])
+                have.append(blobs)
+        if have:
+            yield found()
+
+    raw = small.mapInArrow(kernels.trimmed(send), "range int, single binary, value binary, own binary")
+    return raw.repartition("range").sortWithinPartitions("range").mapInArrow(kernels.trimmed(meet), "sig long")
 
 
 def members(docs: DataFrame, signer: Signer, some: Bitmap, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -371,10 +421,11 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
     classes = materialize(classes, "classes")
     sizes = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}
     signer = Signer(planned(sizes, percent))
-    shared = materialize(shared_signatures(docs, signer, k, id_col, text_col), "shared")
-
     # An id stands for its set; ids of equal sets give way to the smallest.
-    copies = some.join(classes.filter("rep < last").select(*key, "rep"), key).filter("id > rep").select("id").distinct()
+    alike = materialize(some.join(classes.filter("rep < last").select(*key, "rep"), key).select("id", "rep"), "alike")
+    copies = alike.filter("id > rep").select("id").distinct()
+    shared = materialize(shared_signatures(docs, signer, Bitmap(alike, "id"), k, id_col, text_col), "shared")
+
     member = members(docs, signer, Bitmap(shared, "sig"), k, id_col, text_col).join(copies, "id", "left_anti")
     member = materialize(member.join(shared, "sig").distinct(), "members")
     maps = classes.select(F.col("rep").alias("id"), "n", *MAPS)
