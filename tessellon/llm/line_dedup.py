@@ -11,8 +11,8 @@ soon as the ranks cover the longest such prefix, which min_words bounds but for
 So a line goes exactly if it lies in a run of consecutive lines of min_words words or more that also begins earlier, in
 the order of (id, text hash, line number).
 
-Only ids are sorted and joined; hot lines are aggregated before the shuffle, and joins on them can be split. The texts
-are shuffled once, to meet their deletions.
+Only ids are sorted and joined; hot lines are aggregated before the shuffle, and joins on them can be split. Of the texts,
+only those that a bitmap of bounded size can't clear are shuffled, to meet their deletions.
 
 Defined results: null stays null; empty texts have one empty line; a text of very many lines, or a very long line, is
 worked on whole; rows that repeat an id and text are one document and all get its result; null ids stand first, and of
@@ -22,7 +22,9 @@ of which all lines go becomes empty. Tables made on the way are deleted once not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import struct
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.llm.scratch import made, materialize, release_since
@@ -116,6 +118,29 @@ def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.distinct()
 
 
+#: The bitmap of documents with deletions has at most 2**BITS bits; where it fills up, more texts are shuffled.
+BITS = 23
+
+
+def may_be_among(keys: DataFrame, columns: list[str]) -> Column:
+    """Whether a row's columns may be among the stored keys: no false negatives. Two bits a key, aggregated in the cluster; the
+    driver gets 2**(BITS - 6) words at most and puts them into the plan as one binary literal."""
+    bits = min(BITS, max(10, (16 * keys.count()).bit_length()))
+    h = F.xxhash64(*columns)
+    places = [F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(F.shiftleft(h, 30), 64 - bits)]
+    at = keys.select(F.explode(F.array(*places)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("ones"))
+    cells = bytearray(1 << bits - 3)
+    for r in words.collect():
+        struct.pack_into("<q", cells, 8 * r["word"], r["ones"])
+
+    def bit(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(cells)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+    return bit(places[0]) & bit(places[1])
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies deleted from the text, and __n_lines and __n_removed (long)."""
     before = made()
@@ -125,7 +150,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     flags = marked.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("n", F.col("gone").isNull().alias("keep")))).alias("__flags"))
     flags = materialize(flags, "flags")
     release_since(docs.sparkSession, before, flags)
-    both = _keyed(docs, id_col, text_col).join(flags, DOC, "left")
+    maybe = may_be_among(flags, DOC)
+    keyed, none = _keyed(docs, id_col, text_col), F.lit(None).cast(flags.schema["__flags"].dataType)
+    both = keyed.filter(~maybe).withColumn("__flags", none).unionByName(keyed.filter(maybe).join(flags, DOC, "left"))
     kept = F.array_compact(F.zip_with(F.split(text_col, "\n"), "__flags", lambda line, f: F.when(f["keep"], line)))
     text = F.when(F.col("__flags").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)

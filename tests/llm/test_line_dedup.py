@@ -57,6 +57,15 @@ def test_a_document_of_very_many_lines(spark):
     assert got[1].text == rows[0][1] and got[2].text == "head\ntail" and got[2]["__n_removed"] == 19_900
 
 
+def test_the_bitmap_has_no_false_negatives(spark):
+    keys = spark.range(2000).selectExpr("id * 977 AS a", "-id AS b")
+    asked = spark.range(40_000).selectExpr("id * 977 AS a", "-id AS b")
+    n = asked.filter(line_dedup.may_be_among(keys, ["a", "b"])).count()
+    assert 2000 <= n < 3000
+    assert keys.filter(~line_dedup.may_be_among(keys, ["a", "b"])).count() == 0
+    assert asked.filter(line_dedup.may_be_among(keys.limit(0), ["a", "b"])).count() == 0
+
+
 def test_main_path_is_native(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
