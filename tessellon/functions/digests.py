@@ -1,4 +1,4 @@
-"""Digest columns by name: Spark's own functions where it has them, Arrow kernels for the rest.
+"""Digest columns by name: Spark's own functions where it has them, functions in the JVM for the rest, Arrow kernels without one.
 
 Every name maps to a column of bytes for a column of text (its UTF-8 bytes) or bytes. Null stays null.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessellon.functions import kernels
+from tessellon.functions import jvm, kernels
 
 
 def _bytes(x) -> bytes:
@@ -34,6 +34,11 @@ def _kernel(many: Callable[[list[bytes]], list[bytes]]) -> Callable[[Column], Co
     return lambda c: run(c.cast("binary"))
 
 
+def _fast(name: str, kernel: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """In the JVM where the active session has the function, else by the kernel."""
+    return lambda c: jvm.of_content(c, name) if jvm.available() else kernel(c)
+
+
 def _each(name: str) -> Callable[[list[bytes]], list[bytes]]:
     return lambda xs: [hashlib.new(name, x).digest() for x in xs]
 
@@ -61,24 +66,28 @@ def _ed2k(x: pd.Series) -> pd.DataFrame:
 
 def ed2k(c: Column) -> Column:
     """A struct of the red digest and, for a whole number of chunks, the blue one."""
-    return _ed2k(c.cast("binary"))
+    if not jvm.available():
+        return _ed2k(c.cast("binary"))
+    both = jvm.of_content(c, "ED2K+")
+    blue = F.when(F.length(both) == 32, F.substring(both, 17, 16))
+    return F.when(both.isNotNull(), F.struct(F.substring(both, 1, 16).alias("red"), blue.alias("blue")))
 
 
 #: Name of each digest, in the order in which they are reported.
 DIGESTS: dict[str, Callable[[Column], Column]] = {
     "NULL": lambda c: F.when(c.isNotNull(), F.lit(b"")),
     "CRC32": crc32,
-    "CRC32C": _kernel(lambda xs: kernels.crc(xs, kernels.CRC32C)),
-    "MD4": _kernel(kernels.md4),
+    "CRC32C": _fast("CRC32C", _kernel(lambda xs: kernels.crc(xs, kernels.CRC32C))),
+    "MD4": _fast("MD4", _kernel(kernels.md4)),
     "MD5": lambda c: F.unhex(F.md5(c.cast("binary"))),
     "SHA1": lambda c: F.unhex(F.sha1(c.cast("binary"))),
     "SHA2-256": _sha2(256),
     "SHA2-384": _sha2(384),
     "SHA2-512": _sha2(512),
-    **{f"SHA3-{n}": _kernel(_each(f"sha3_{n}")) for n in (224, 256, 384, 512)},
-    **{f"KECCAK-{n}": _kernel(lambda xs, n=n: kernels.keccak(xs, n)) for n in (224, 256, 384, 512)},
-    "TIGER": _kernel(kernels.tiger),
-    "TTH": _kernel(kernels.tth),
+    **{f"SHA3-{n}": _fast(f"SHA3-{n}", _kernel(_each(f"sha3_{n}"))) for n in (224, 256, 384, 512)},
+    **{f"KECCAK-{n}": _fast(f"KECCAK-{n}", _kernel(lambda xs, n=n: kernels.keccak(xs, n))) for n in (224, 256, 384, 512)},
+    "TIGER": _fast("TIGER", _kernel(kernels.tiger)),
+    "TTH": _fast("TTH", _kernel(kernels.tth)),
     "ED2K": lambda c: ed2k(c)["red"],
     "ED2K2": lambda c: ed2k(c)["blue"],
 }
@@ -102,6 +111,16 @@ def digests(c: Column, names: list[str]) -> list[Column]:
     return [DIGESTS[n](c).alias(n) for n in selected(names)]
 
 
+def of_files(files, names: list[str], path: str = "path"):
+    """(the columns of files, a column for each asked digest, error) of files of any size, each read once as a stream; a file that
+    can't be read has no digests and an error. Needs the functions in the JVM."""
+    chosen = selected(names)
+    if not jvm.available(files.sparkSession):
+        raise RuntimeError("streaming digests need a session with a JVM at hand")
+    got = files.withColumn("__got", jvm.of_file(F.col(path), chosen))
+    return got.select(*files.columns, *[F.get("__got", F.lit(i)).alias(n) for i, n in enumerate(chosen)], F.get("__got", F.lit(len(chosen))).cast("string").alias("error"))
+
+
 def long_form(wide, keys: list[str], names: list[str]):
     """(keys, name, digest) rows of a frame with a column for each digest; null digests have no row."""
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("digest")) for n in names])
