@@ -420,17 +420,21 @@ def _flat(path: str, name: str, rank: int, node: Node, above: str, order: list[i
         yield from _flat(path, name, rank, child, own, order)
 
 
+def rows_of(path: str, data: bytes, names: list[str] | None = None) -> list[tuple]:
+    """Rows of ITEMS for one file's bytes."""
+    chosen = [(n, i, make) for i, (n, make) in enumerate(PROVIDERS.items()) if names is None or n in names]
+    return [r for name, rank, make in chosen if (node := make(data)) for r in _flat(path, name, rank, node, "", [0])]
+
+
 def items(files: DataFrame, path: str = "path", content: str = "content", names: list[str] | None = None) -> DataFrame:
     """Rows of ITEMS for every file; each node also has a row without a key, so that empty nodes show."""
-    chosen = [(n, list(PROVIDERS).index(n), PROVIDERS[n]) for n in PROVIDERS if names is None or n in names]
     small = files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content"))
     columns = [c.split()[0] for c in ITEMS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"], strict=True):
-                rows = [r for name, rank, make in chosen if (node := make(bytes(c or b""))) for r in _flat(p, name, rank, node, "", [0])]
-                yield pd.DataFrame(rows, columns=columns).astype({"provider_rank": "int32", "ord": "int64"})
+                yield pd.DataFrame(rows_of(p, bytes(c or b""), names), columns=columns).astype({"provider_rank": "int32", "ord": "int64"})
 
     return small.mapInPandas(run, ITEMS)
 

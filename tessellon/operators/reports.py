@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -126,15 +126,19 @@ def structure(data: bytes) -> str:
     return values.xml(("File", {}, [head, ("Segment", {}, inside)]))
 
 
-def _each(make: Callable[[bytes], str]) -> Callable[[DataFrame], DataFrame]:
-    def report(files: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"path": b["path"], "xml": [make(bytes(c or b"")) for c in b["content"]]})
+def column(make: Callable[[bytes], str]) -> Callable[[Column], Column]:
+    """A report made from bytes alone, as a column."""
+
+    @F.pandas_udf(StringType())
+    def run(content: pd.Series) -> pd.Series:
+        return pd.Series([make(bytes(c or b"")) for c in content])
+
+    return run
 
-        return files.select("path", "content").mapInPandas(run, "path string, xml string")
 
-    return report
+def of_contents(name: str, files: DataFrame) -> DataFrame:
+    """(path, xml) of a report from bytes. files: path, content."""
+    return files.select("path", column(STRUCTURES[name])(F.col("content")).alias("xml"))
 
 
 def error_report(kind: str, thrown_on: str, message: str, data: dict[str, tuple[str, bool]], session: str, personal: bool = False, cause: str | None = None) -> str:
@@ -143,5 +147,14 @@ def error_report(kind: str, thrown_on: str, message: str, data: dict[str, tuple[
     return values.xml((kind, {"thrownOn": thrown_on}, [("Message", {}, message), ("Data", {}, shown), ("Cause", {}, cause or "")]))
 
 
+#: Names of the report of all items.
+COMPLETE = ["Complete"]
 #: Reports from bytes alone, by name.
-STRUCTURES = {"Matroska": _each(structure), "MediaInfoXml": _each(lambda _: values.xml(("File", {}, "")))}
+STRUCTURES: dict[str, Callable[[bytes], str]] = {"Matroska": structure, "MediaInfoXml": lambda _: values.xml(("File", {}, ""))}
+#: Reports of one's own, by name: from (items, files) to (path, xml).
+OWN: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def register(name: str, report: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Add a report of one's own: a function of items and files (path, length) that returns (path, xml)."""
+    OWN[name] = report

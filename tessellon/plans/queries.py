@@ -324,7 +324,7 @@ def _(spark, sf_dir):
     from tessellon.sources import samples
 
     made = spark.createDataFrame([("sample.mkv", bytearray(samples.mkv())), ("other", bytearray(b"abc"))], "path string, content binary")
-    return reports.STRUCTURES["Matroska"](made)
+    return reports.of_contents("Matroska", made)
 
 
 @query("throughput_average")

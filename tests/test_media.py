@@ -35,7 +35,7 @@ def test_matroska(xml, files):
         '<Type p="MatroskaProvider" t="String" u="Dimensionsless">text/plain</Type>',
     ]:
         assert part in s, part
-    dump = {r.path: r.xml for r in reports.STRUCTURES["Matroska"](files).collect()}
+    dump = {r.path: r.xml for r in reports.of_contents("Matroska", files).collect()}
     for part in ["<EbmlHeader>", "<TrackNumber>2</TrackNumber>", "<CodecId>A_TEST</CodecId>", "<MuxingApp>synth-mux</MuxingApp>", f'<SegmentUId Size="16">{"AB" * 16}</SegmentUId>', "<FileDataSize>5</FileDataSize>"]:
         assert part in dump["a.mkv"], part
     assert dump["d.bin"] == "<File />" == dump["e"]
