@@ -47,21 +47,17 @@ def base32(data: bytes) -> str:
 
 
 def number_in_base(number: Column, base: str, n_bytes: int) -> Column:
-    """The digits of a non-negative long of n_bytes (up to 7), by Spark's own functions."""
+    """The digits of a non-negative long of n_bytes (up to 7), by Spark's own functions on longs."""
     digits = ALPHABETS[base]
     radix, w = len(digits), width(n_bytes, len(digits))
-    places = [F.lit(radix**i).cast("decimal(38,0)") for i in range(w - 1, -1, -1)]
-    one = lambda p: F.substring(F.lit(digits), (F.floor(number.cast("decimal(38,0)") / p).cast("decimal(38,0)") % radix).cast("int") + 1, 1)
-    if radix in (2, 8, 16) and base != "32":
+    if digits == (_D + _AZ)[:radix]:
         return F.lpad(F.conv(number.cast("string"), 10, radix), w, "0")
-    if radix in (10, 36):
-        return F.lpad(F.conv(number.cast("string"), 10, radix), w, "0")
-    shifted = radix & (radix - 1) == 0
     step = radix.bit_length() - 1
-    place = (lambda i: F.shiftright(number, step * i).bitwiseAND(F.lit(radix - 1))) if shifted else (lambda i: F.expr("0"))
-    if shifted:
-        return F.concat(*[F.substring(F.lit(digits), place(i).cast("int") + 1, 1) for i in range(w - 1, -1, -1)])
-    return F.concat(*[one(p) for p in places])
+    if radix == 1 << step:
+        place = lambda i: F.shiftright(number, step * i).bitwiseAND(F.lit(radix - 1))
+    else:
+        place = lambda i: F.call_function("div", number, F.lit(radix**i)) % radix
+    return F.concat(*[F.substring(F.lit(digits), place(i).cast("int") + 1, F.lit(1)) for i in range(w - 1, -1, -1)])
 
 
 def bytes_in_base(data: Column, base: str) -> Column:

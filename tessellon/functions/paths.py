@@ -36,6 +36,7 @@ def full_path(path: str, cwd: str | None = None) -> str:
     return os.path.normpath(os.path.join(cwd or os.getcwd(), path))
 
 
+# The patterns of placeholders.
 _PLACEHOLDER = re.compile(r"\$\{([A-Za-z0-9.-]+)\}")
 _HASH = re.compile(r"(?i)^Hash-(.+)-(2|4|8|10|16|32|32Hex|32Z|36|62|64)-(UC|LC|OC)$")
 _HASH_STRICT = re.compile(r"^Hash-([^-]+)-(\d+|32Hex|32Z)-(UC|LC|OC)$")

@@ -15,7 +15,9 @@ def format_double(x: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
     scientific = F.concat(mantissa, F.when(power < 0, "E-").otherwise("E+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    plain = F.when(text.contains("E"), F.regexp_replace(F.format_string("%.12f", x), r"0+$", "")).otherwise(text)
+    sign, digits = F.when(x < 0, "-").otherwise(""), F.regexp_replace(mantissa, r"[-.]", "")
+    moved = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    plain = F.when(text.contains("E"), F.concat(sign, moved)).otherwise(text)
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Infinity")

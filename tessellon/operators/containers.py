@@ -67,6 +67,7 @@ class Element:
     end: int
     known: bool
     value: object = None
+    size: int | None = None  # as stated
 
 
 def _scalar(kind: str, raw: bytes):
@@ -104,7 +105,7 @@ def elements(data: bytes) -> Iterator[Element]:
         if known:
             number += 1
             name, kind = known
-            e = Element(id_, name, kind, len(open_), open_[-1][0] if open_ else -1, start, end if end >= 0 else limit, size is not None)
+            e = Element(id_, name, kind, len(open_), open_[-1][0] if open_ else -1, start, end if end >= 0 else limit, size is not None, None, size)
             if kind not in "mx" and 0 <= e.end - start <= MAX_VALUE and size is not None:
                 e.value = _scalar(kind, bytes(view[start : e.end]))
             elif kind == "x":
@@ -165,28 +166,66 @@ def block_header(raw: bytes) -> tuple[int, int, int, int] | None:
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    """(track, time in nanoseconds, frames, size, order) of all blocks of a Matroska file."""
-    found = list(elements(data))
-    scale = next((e.value for e in found if e.name == "TimecodeScale"), None) or 1_000_000
-    tracks, number = {}, None
-    for e in found:
-        if e.name == "TrackNumber":
-            number = e.value
-        elif e.name == "TrackTimecodeScale":
-            tracks[number] = e.value
-    cluster, order = 0, 0
-    for e in found:
-        if e.name == "Cluster":
-            cluster = 0
+    """(track, time in nanoseconds, frames, size, order) of all blocks of a Matroska file.
+
+    Scales count from where they are read on: before the segment's information all times are 0, before a track's entry its own
+    scale is 1. Blocks that stand before the entries belong to their track all the same.
+    """
+    scale, tracks, entry, cluster, order = 0, {}, {}, 0, 0
+    for e in elements(data):
+        if e.name == "SegmentInfo":
+            scale = 1_000_000
+        elif e.name == "TimecodeScale":
+            scale = e.value or 0
+        elif e.name == "Track":
+            entry = {}
+        elif e.name in ("TrackNumber", "TrackTimecodeScale"):
+            entry[e.name] = e.value
+            if "TrackNumber" in entry:
+                tracks[entry["TrackNumber"]] = entry.get("TrackTimecodeScale") or 1.0
         elif e.name == "Timecode":
             cluster = e.value or 0
         elif e.name in ("SimpleBlock", "Block") and (head := block_header(e.value)):
             track, time, flags, frames = head
             used = vint(e.value, 0, False)[1] + 3 + (1 if flags & 0x06 else 0)
-            yield track, max(0, int((time + cluster) * (tracks.get(track) or 1.0) * scale)), frames, e.end - e.start - used, order
+            yield track, max(0, int((time + cluster) * tracks.get(track, 1.0) * scale)), frames, e.end - e.start - used, order
             order += 1
 
 
+#: Where a segment, or its information without one, must have come, and how much a file may be longer than its segment.
+SEARCHED, LONGER, LONGER_RATIO = 4 << 20, 1 << 20, 1.01
+
+
+def matroska_file(data: bytes) -> tuple[Tree, Tree] | None:
+    """(header, segment) of a Matroska file that has information and tracks; None for any other.
+
+    The header comes first. A file may start with the information where the segment's own element is missing. A segment of
+    known size must account for nearly the whole file.
+    """
+    if data[:4] != b"\x1a\x45\xdf\xa3":
+        return None
+    tops = trees(data)
+    for i, t in enumerate(tops[1:], 1):
+        if t.element.name == "Segment":
+            segment = t
+            break
+        if t.element.name == "SegmentInfo":
+            whole = Element(0x18538067, "Segment", "m", 0, -1, t.element.start, len(data), False)
+            segment = Tree(whole, tops[i:])
+            break
+        if t.element.start > SEARCHED:
+            return None
+    else:
+        return None
+    if not segment.one("SegmentInfo") or not segment.one("Tracks"):
+        return None
+    if segment.element.known:
+        size = segment.element.size
+        if not size or any(n - size >= LONGER or n / size >= LONGER_RATIO for n in (len(data), min(len(data), segment.element.start + size))):
+            return None
+    return tops[0], segment
+
+
 # Boxes that hold boxes, and the bytes that stand before those.
 BOXES = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "mfra": 0, "meta": 4}
 BOX_DATA = {"ftyp", "mvhd", "tkhd", "mdhd", "hdlr", "stsd", "elst", "vmhd", "smhd"}

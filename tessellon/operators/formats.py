@@ -1,6 +1,7 @@
 """What kind of file some bytes are, by magic bytes and by rules about text; Spark expressions only.
 
-All rules are evaluated in one projection over the head of the content. A type whose magic is a longer text than the content
+All rules are evaluated in one projection over the head of the content; a rule about lines looks at them only where the text
+holds a character sequence that no match can lack. A type whose magic is a longer text than the content
 but begins like it makes the content undecided, and undecided content has no type.
 """
 
@@ -11,17 +12,17 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import text as T
 
-# Magic bytes, as hexadecimal digits, and section names.
+# Magic bytes and section names.
 MAGIC = {
-    "7z": ["377ABCAF271C"],
-    "zip": ["504B0304", "504B3030504B"],
-    "rar": ["52617221"],
-    "ra": ["2E7261FD"],
-    "flac": ["664C6143"],
-    "avi": ["52494646"],
-    "vtt": ["FEFF574542565454", "574542565454"],
-    "fsb": ["46616E5375626265722076"],
-    "s2k": ["2F2F207472616E736C617465642062792053616D6932536173616D69"],
+    "7z": [b"7z\xbc\xaf'\x1c"],
+    "zip": [b"PK\x03\x04", b"PK00PK"],
+    "rar": [b"Rar!"],
+    "ra": [b".ra\xfd"],
+    "flac": [b"fLaC"],
+    "avi": [b"RIFF"],
+    "vtt": [b"\xfe\xffWEBVTT", b"WEBVTT"],
+    "fsb": [b"FanSubber v"],
+    "s2k": [b"// translated by Sami2Sasami"],
 }
 SECTIONS = ["[BEGIN]", "[INFORMATION]", "[TITLE]", "[AUTHOR]", "[SOURCE]", "[PRG]", "[FILEPATH]", "[DELAY]", "[CD TRACK]", "[COMMENT]", "[END INFORMATION]", "[SUBTITLE]", "[COLF]", "[STYLE]", "[SIZE]", "[FONT]"]
 SRT = r"(?U)^(\d{1,4} ?: ?\d{1,4} ?: ?\d{1,4} ?[,:.] ?\d{1,4}) ?--> ?(\d{1,4} ?: ?\d{1,4} ?: ?\d{1,4} ?[,:.] ?\d{1,4})"
@@ -44,17 +45,17 @@ def _ratio(hits: Column, of: Column, least: float) -> Column:
     return (hits > 0) & (hits.cast("double") >= of * F.lit(least))
 
 
-def _begins(hexed: Column, kind: str) -> Column:
+def _begins(first: Column, kind: str) -> Column:
     out = F.lit(False)
     for m in MAGIC[kind]:
-        out = out | F.startswith(hexed, F.lit(m))
+        out = out | F.startswith(first, F.lit(m))
     return out
 
 
-def _undecided(hexed: Column) -> Column:
-    out = hexed == ""
+def _undecided(first: Column) -> Column:
+    out = F.octet_length(first) == 0
     for m in sum(MAGIC.values(), []):
-        out = out | ((F.length(hexed) < len(m)) & F.startswith(F.lit(m), hexed))
+        out = out | ((F.octet_length(first) < len(m)) & F.startswith(F.lit(m), first))
     return out
 
 
@@ -83,7 +84,7 @@ def _pjs(lines: Column) -> Column:
     return F.aggregate(lines, zero, step, lambda a: _ratio(a["hits"], a["i"], 0.8))
 
 
-def _js(lines: Column) -> Column:
+def _js(lines: Column, low: Column) -> Column:
     """Lines that start a timed row, and those that a backslash continues."""
     zero = F.struct(F.lit(False).alias("more"), F.lit(0).alias("i"), F.lit(0).alias("hits"))
 
@@ -92,53 +93,54 @@ def _js(lines: Column) -> Column:
         return F.struct(((starts | a["more"]) & goes_on).alias("more"), (a["i"] + 1).alias("i"), (a["hits"] + (starts | a["more"]).cast("int")).alias("hits"))
 
     own = F.filter(lines, lambda x: ~F.startswith(x, F.lit("#")))
-    named = F.exists(lines, lambda x: F.contains(F.lower(x), F.lit("jaco")))
+    named = F.exists(low, lambda x: F.contains(x, F.lit("jaco")))
     share = lambda a: F.coalesce(F.try_divide(a["hits"].cast("double"), a["i"]), F.lit(0.0))
-    return F.aggregate(own, zero, step, lambda a: (a["hits"] > 0) & (((share(a) > 0.5) & named) | (share(a) > 0.8)))
+    return F.aggregate(own, zero, step, lambda a: (a["hits"] > 0) & ((share(a) > 0.8) | ((share(a) > 0.5) & named)))
 
 
 def _tts(lines: Column) -> Column:
     own = F.filter(F.transform(lines, F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     hits = _count(own, lambda x: x.rlike(TTS))
     prose = lambda x: F.length(F.regexp_replace(x, r"[^\p{IsAlphabetic}\s\p{Punct}]", "")) > F.length(x) * F.lit(0.8)
-    return _ratio(hits, hits + _count(own, lambda x: ~x.rlike(TTS) & ~prose(x)), 0.8)
+    return (hits > 0) & _ratio(hits, hits + _count(own, lambda x: ~x.rlike(TTS) & ~prose(x)), 0.8)
 
 
-def _rules(hexed: Column, text: Column, lines: Column, length: Column) -> dict[str, Column]:
-    start = F.lower(F.substring(text, 1, 2048))
-    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+def _rules(first: Column, text: Column, start: Column, lines: Column, low: Column, length: Column) -> dict[str, Column]:
+    """first: bytes; start: the text's beginning in lower case; low: lines in lower case."""
+    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     small = length <= T.HEAD_BYTES
-    low = F.transform(lines, F.lower)
-    at = lambda f: F.array_position(F.transform(lines, f), True)
-    timed, other = at(lambda x: x.rlike(SRT)), at(lambda x: F.contains(F.lower(x), F.lit("webvtt")))
+    has = lambda *xs: F.greatest(F.lit(False), *[F.contains(text, F.lit(x)) for x in xs])
+    every_has = lambda *xs: F.least(F.lit(True), *[F.contains(text, F.lit(x)) for x in xs])
+    timed = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("-->")) & x.rlike(SRT)), True)
+    other = F.array_position(F.transform(low, lambda x: F.contains(x, F.lit("webvtt"))), True)
     tags = F.filter(low, lambda x: F.startswith(x, F.lit("<")))
     trimmed = F.slice(F.filter(F.transform(lines, F.trim), lambda x: x != ""), 1, 21)
     upper = F.upper(F.substring(text, 1, 1024))
     viewer = sum((F.contains(upper, F.lit(s)).cast("int") for s in SECTIONS), F.lit(0)) >= 5
-    dvd = small & (F.size(trimmed) > 4) & (_count(trimmed, lambda x: x.rlike(MICRODVD)) > F.size(trimmed) * F.lit(0.8))
+    dvd = every_has("{", "}{") & small & (F.size(trimmed) > 4) & (_count(trimmed, lambda x: x.rlike(MICRODVD)) > F.size(trimmed) * F.lit(0.8))
     every = F.transform(F.split(text, "\n"), F.lower)
     begins = lambda x, *ws: sum((F.startswith(x, F.lit(w)).cast("int") for w in ws), F.lit(0)) > 0
     score = 10 * _count(every, lambda x: begins(x, "region", "style", "note")) + _count(every, lambda x: begins(x, "-->"))
-    out = {k: _begins(hexed, k) for k in MAGIC}
+    out = {k: _begins(first, k) for k in MAGIC}
     return out | {
-        "srt": small & (timed > 0) & ((other == 0) | (other > timed)),
-        "ssa": ~F.startswith(hexed, F.lit("1A45DFA3")) & _script(start, length).isNotNull(),
-        "idx": small & F.contains(first, F.lit("VobSub index file, v")),
+        "srt": small & has("-->") & (timed > 0) & ((other == 0) | (other > timed)),
+        "ssa": ~F.startswith(first, F.lit(b"\x1a\x45\xdf\xa3")) & (F.contains(start, F.lit("styles]")) | F.contains(start, F.lit("scripttype:"))) & _script(start, length).isNotNull(),
+        "idx": small & F.contains(line, F.lit("VobSub index file, v")),
         "smi": F.contains(F.substring(start, 1, 10), F.lit("<sami>")),
-        "lrc": _ratio(_count(lines, lambda x: x.rlike(LRC)), F.size(lines), 0.8),
-        "avi": out["avi"] & (F.substring(hexed, 17, 16) == "415649204C495354"),
-        "sub": viewer | dvd,
-        "tmp": _ratio(_count(lines, lambda x: x.rlike(TMP)), F.size(lines), 0.8),
-        "pjs": _pjs(lines),
+        "lrc": every_has("[", ":", ".") & _ratio(_count(lines, lambda x: F.contains(x, F.lit("[")) & x.rlike(LRC)), F.size(lines), 0.8),
+        "avi": out["avi"] & (F.substring(first, F.lit(9), F.lit(8)) == F.lit(b"AVI LIST")),
+        "sub": (has("[") & viewer) | dvd,
+        "tmp": has(":") & _ratio(_count(lines, lambda x: F.contains(x, F.lit(":")) & x.rlike(TMP)), F.size(lines), 0.8),
+        "pjs": has(',"') & _pjs(lines),
         "vtt": out["vtt"] & (score > 10),
-        "js": _js(lines),
-        "rt": (F.size(tags) >= 10) & _ratio(_count(tags, lambda x: begins(x, "<window", "<time begin")), F.size(tags), 0.6),
-        "smil": F.exists(low, lambda x: F.startswith(F.trim(x), F.lit("<smil>"))),
-        "tts": _tts(lines),
+        "js": every_has(":", ".") & _js(lines, low),
+        "rt": has("<") & (F.size(tags) >= 10) & _ratio(_count(tags, lambda x: begins(x, "<window", "<time begin")), F.size(tags), 0.6),
+        "smil": has("<") & F.exists(low, lambda x: F.startswith(F.trim(x), F.lit("<smil>"))),
+        "tts": every_has(":", ".", ",") & _tts(lines),
         "xss": F.contains(start, F.lit("script=xombiesub")),
         "zeg": F.contains(start, F.lit("% zerog")),
-        "sup": F.startswith(hexed, F.lit("5047")) & (F.substring(hexed, 21, 4) == "1600"),
-        "fsb": out["fsb"] & first.rlike(FANSUBBER),
+        "sup": F.startswith(first, F.lit(b"PG")) & (F.substring(first, F.lit(11), F.lit(2)) == F.lit(b"\x16\x00")),
+        "fsb": out["fsb"] & line.rlike(FANSUBBER),
     }
 
 
@@ -148,11 +150,11 @@ def detect(df: DataFrame, content: str, length: str | None = None, keep: list[st
     keep = keep if keep is not None else df.columns
     size = F.col(length) if length else F.octet_length(content)
     body = F.col(content).cast("binary")
-    base = df.select(*keep, F.hex(F.substring(body, 1, 32)).alias("_x"), T.decoded(T.head(body)).alias("_t"), size.cast("long").alias("_n"))
-    base = base.withColumn("_l", T.read_lines(F.col("_t")))
-    rules = _rules(F.col("_x"), F.col("_t"), F.col("_l"), F.col("_n"))
+    base = df.select(*keep, F.substring(body, 1, 32).alias("_x"), T.decoded(T.head(body)).alias("_t"), size.cast("long").alias("_n"))
+    base = base.withColumn("_s", F.lower(F.substring("_t", 1, 2048))).withColumn("_l", T.read_lines(F.col("_t"))).withColumn("_low", F.transform("_l", F.lower))
+    rules = _rules(F.col("_x"), F.col("_t"), F.col("_s"), F.col("_l"), F.col("_low"), F.col("_n"))
     found = F.array_compact(F.array(*[F.when(rules[k], F.lit(k)) for k in kinds]))
-    script = _script(F.lower(F.substring("_t", 1, 2048)), F.col("_n"))
+    script = _script(F.col("_s"), F.col("_n"))
     out = base.withColumn("candidates", F.when(~_undecided(F.col("_x")), found).otherwise(F.array().cast("array<string>")))
     names = F.transform("candidates", lambda k: F.when(k == "ssa", script).otherwise(k))
     won = F.lit(None).cast("string")

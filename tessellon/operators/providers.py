@@ -147,19 +147,15 @@ def track_numbers(samples: list[tuple[int, int, int]], private: int = 0) -> dict
 
 def matroska(data: bytes) -> Node | None:
     """Matroska: segment, tracks with statistics of their blocks, tags, attachments, chapters."""
-    if len(data) < 4 or data[:4] != b"\x1a\x45\xdf\xa3":
+    if (found := C.matroska_file(data)) is None:
         return None
-    tops = C.trees(data)
-    header = next((t for t in tops if t.element.name == "EbmlHeader"), None)
-    segment = next((t for t in tops if t.element.name == "Segment"), None)
-    if not segment or not segment.one("SegmentInfo") or not segment.one("Tracks") or segment.element.end == segment.element.start:
-        return None
-    info, kind = segment.all("SegmentInfo")[-1], (header.get("DocType", "matroska") if header else "matroska")
+    header, segment = found
+    info, kind = segment.all("SegmentInfo")[-1], header.get("DocType", "matroska")
     tracks = segment.one("Tracks").all("Track")
     scale = info.get("TimecodeScale", 1_000_000)
     root = Node("MediaProvider")
     root.add("FileSize", "Int64", len(data), BYTES)
-    root.add("ContainerVersion", "String", f"DocType={kind} DocTypeVersion={header.get('DocTypeVersion', 1) if header else 1}")
+    root.add("ContainerVersion", "String", f"DocType={kind} DocTypeVersion={header.get('DocTypeVersion', 1)}")
     root.add("CreationDate", "DateTime", info.get("ProductionDate"))
     length = info.get("Duration")
     root.add("Duration", "Double", None if length is None else length * scale / 1e9, SECONDS)

@@ -90,11 +90,9 @@ def _tag(t: C.Tree) -> tuple:
 
 def structure(data: bytes) -> str:
     """The structure of a Matroska file; an empty File for anything else."""
-    tops = C.trees(data) if data[:4] == b"\x1a\x45\xdf\xa3" else []
-    header = next((t for t in tops if t.element.name == "EbmlHeader"), None)
-    segment = next((t for t in tops if t.element.name == "Segment"), None)
-    if not header or not segment or not segment.one("SegmentInfo") or not segment.one("Tracks"):
+    if (found := C.matroska_file(data)) is None:
         return values.xml(("File", {}, ""))
+    header, segment = found
     defaults = dict(EbmlVersion=1, EbmlReadVersion=1, EbmlMaxIdLength=4, EbmlMaxSizeLength=8, DocTypeReadVersion=1, DocTypeVersion=1, DocType="matroska")
     head = ("EbmlHeader", {}, _text(header, [(n, n, d) for n, d in defaults.items()]))
     info = ("SegmentInfo", {}, _text(segment.all("SegmentInfo")[-1], _same("SegmentUId PreviousUId NextUId SegmentFilename PreviousFilename NextFilename Duration Title MuxingApp WritingApp")))

@@ -83,9 +83,22 @@ def rate_deviation(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys).agg(root(variance).alias("rate_deviation"), F.sqrt(F.greatest(true, F.lit(0.0))).alias("weighted_deviation"))
 
 
-def running_index(rows: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
-    """Place of a row among those of its keys, from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def running_index(rows: DataFrame, keys: list[str], order: list[str], name: str = "idx", bucket: Column | None = None) -> DataFrame:
+    """Place of a row among those of its keys, from 0.
+
+    bucket: any function of a row that doesn't fall along the order, such as its day. With it, a hot key's rows are ordered in as
+    many tasks as it has buckets, and places start from the counts of the buckets before; without it, a key is one task's.
+    """
+    if bucket is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    both = rows.withColumn("__bucket", bucket)
+    sizes = both.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    own = both.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "__bucket"]]
+    joined = own.alias("a").join(sizes.alias("b"), [*same], "left")
+    return joined.select(*[f"a.{c}" for c in rows.columns if c != name], (F.col(f"a.{name}") + F.col("b.__before")).alias(name))
 
 
 def last_marker(rows: DataFrame, keys: list[str], order: list[str], marker: Column, value: Column, name: str) -> DataFrame:
@@ -99,8 +112,26 @@ def scaled_timecode(block: Column, cluster: Column, segment_scale: Column, track
     return F.greatest(F.lit(0), ((block + cluster) * F.coalesce(track_scale, F.lit(1.0)) * F.coalesce(segment_scale, F.lit(1_000_000))).cast("long"))
 
 
-def averages(samples: DataFrame, keys: list[str], order: list[str], value: str, seconds: str, minutes: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
-    """Exponential averages of a throughput, one column for each time constant."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"), F.col(seconds).cast("double").alias("s"))))
-    fold = lambda m: F.aggregate("_x", F.lit(0.0), lambda a, x: a + (x["v"] - a) * (1 - F.exp(-x["s"] / F.lit(60.0 * m)))).alias(f"average_{m}")
-    return samples.groupBy(*keys).agg(items.alias("_x")).select(*keys, *[fold(m) for m in minutes])
+def averages(samples: DataFrame, keys: list[str], order: list[str], value: str, seconds: str, minutes: tuple[int, ...] = (1, 5, 15), bucket: Column | None = None) -> DataFrame:
+    """Exponential averages of a throughput, one column for each time constant.
+
+    A step takes the average to its value by 1 - exp(-s / T), so a value's share in the end is that, times exp(-(time after it) / T):
+    a sum over rows that needs only the time up to each row. bucket: as for running_index(); a hot key is then many tasks'.
+    """
+    part, s = [*keys, *(["__bucket"] if bucket is not None else [])], F.col(seconds).cast("double")
+    rows = samples if bucket is None else samples.withColumn("__bucket", bucket)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.sum(s).over(Window.partitionBy(*part)) - F.sum(s).over(w)
+    rows = rows.withColumn("__after", after)
+    share = lambda m: F.col(value).cast("double") * (1 - F.exp(-s / (60.0 * m))) * F.exp(-F.col("__after") / (60.0 * m))
+    sums = rows.groupBy(*part).agg(F.sum(s).alias("__s"), *[F.sum(share(m)).alias(f"average_{m}") for m in minutes])
+    if bucket is None:
+        return sums.drop("__s")
+    later = F.sum("__s").over(Window.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("__later", F.coalesce(later, F.lit(0.0)))
+    return sums.groupBy(*keys).agg(*[F.sum(F.col(f"average_{m}") * F.exp(-F.col("__later") / (60.0 * m))).alias(f"average_{m}") for m in minutes])
+
+
+def eta(done: Column, total: Column, rate: Column) -> Column:
+    """Seconds that the rest takes at a rate; null without one."""
+    return F.when(rate > 0, F.greatest(total - done, F.lit(0)) / rate)

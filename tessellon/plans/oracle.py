@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessellon.functions import bases, kernels, render
+from tessellon.operators import formats
 from tessellon.plans import queries
 
 _KEY = "o_orderkey::VARCHAR"
@@ -34,6 +35,19 @@ _Q = f"abs({_TS})"
 _FLAGS = "[" + ", ".join(f"CASE WHEN b & {1 << i} <> 0 THEN '{n}' END" for i, n in render.STEREO_MODES.items() if i < 30) + "]"
 
 
+def _list(texts: list[str]) -> str:
+    quoted = [t.replace("'", "''").replace("\n", "' || chr(10) || '") for t in texts]
+    return "[" + ", ".join(f"'{t}'" for t in quoted) + "]"
+
+
+def _number(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN {x}::BIGINT::VARCHAR ELSE upper({x}::VARCHAR) END"
+
+
+def _item(provider: str, name: str, kind: str, text: str) -> str:
+    return f"""'      <{name} p="{provider}" t="{kind}" u="Dimensionsless">', {text}, '</{name}>', chr(10)"""
+
+
 def _items(table: str, p: str, rank: int) -> str:
     key = f"{p}_{table[:4]}key"
     pairs = [("name", f"{p}_name"), ("cents", f"round({p}_acctbal * 100)::BIGINT::VARCHAR"), (f"{table}_key", f"{key}::VARCHAR")]
@@ -41,7 +55,49 @@ def _items(table: str, p: str, rank: int) -> str:
 
 
 _LINES = "list_filter(string_split_regex({0}, '[\\r\\n]'), lambda x: x <> '')"
-_SRT = r"^(\d{1,4} ?: ?\d{1,4} ?: ?\d{1,4} ?[,:.] ?\d{1,4}) ?--> ?(\d{1,4} ?: ?\d{1,4} ?: ?\d{1,4} ?[,:.] ?\d{1,4})"
+_RE = {k: getattr(formats, k).removeprefix("(?U)") for k in ("SRT", "LRC", "TMP", "PJS", "JS", "TTS", "MICRODVD", "FANSUBBER")}
+
+
+def _detect(table: str, key: str, text: str) -> str:
+    """All rules about the kind of a text, written anew for this dialect."""
+    hits = lambda of, how: f"len(list_filter({of}, lambda x: {how}))"
+    match = lambda name: f"regexp_matches(x, '{_RE[name]}')"
+    ratio = lambda n, of, least: f"({n} > 0 AND {n} >= {least}::DOUBLE * ({of}))"
+    starts = lambda *ms: "(" + " OR ".join(f"starts_with(t, {m})" for m in ms) + ")"
+    zip_, short = "'PK' || chr(3) || chr(4)", ["'PK00PK'", "'Rar!'", "'fLaC'", "'RIFF'", "'WEBVTT'", "'FanSubber v'", "'// translated by Sami2Sasami'", "'.ra'", "'7z'"]
+    undecided = "t = '' OR " + " OR ".join(f"(octet_length(encode(t)) < length({m}) AND starts_with({m}, t))" for m in [*short, zip_]) + " OR t IN ('.ra', '7z')"
+    own = "list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))"
+    prose = r"length(regexp_replace(x, '[^\pL\pM\s[:punct:]]', '', 'g')) > length(x) * 0.8"
+    zero = lambda fields: "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+    pjs = f"""list_reduce(list_prepend({zero(dict(buf="''", i=0, hits=0, l="''"))}, list_transform(ls, lambda x: {zero(dict(buf="''", i=0, hits=0, l="x"))})),
+        lambda a, x: CASE WHEN NOT contains(x.l, ',"') OR ends_with(x.l, '"') THEN {zero(dict(buf="''", i="a.i + 1", hits=f"a.hits + regexp_matches(a.buf || x.l, '{_RE['PJS']}')::INT", l="''"))} ELSE {zero(dict(buf="a.buf || x.l", i="a.i", hits="a.hits", l="''"))} END)"""
+    rows = "list_filter(ls, lambda x: NOT starts_with(x, '#'))"
+    js = f"""list_reduce(list_prepend({zero(dict(more="false", i=0, hits=0, l="''"))}, list_transform({rows}, lambda x: {zero(dict(more="false", i=0, hits=0, l="x"))})),
+        lambda a, x: {zero(dict(more=f"((regexp_matches(x.l, '{_RE['JS']}') OR a.more) AND ends_with(x.l, '{chr(92)}'))", i="a.i + 1", hits=f"a.hits + (regexp_matches(x.l, '{_RE['JS']}') OR a.more)::INT", l="''"))})"""
+    sections = " + ".join(f"contains(up, '{x}')::INT" for x in formats.SECTIONS)
+    tags = "list_filter(low, lambda x: starts_with(x, '<'))"
+    first_of = lambda of, how: f"coalesce(list_min(list_filter(range(1, len({of}) + 1), lambda i: {how})), 0)"
+    score = "10 * len(list_filter(string_split(lower(t), chr(10)), lambda x: starts_with(x, 'region') OR starts_with(x, 'style') OR starts_with(x, 'note'))) + len(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '-->')))"
+    rules = {
+        "srt": f"srt_at > 0 AND (vtt_at = 0 OR vtt_at > srt_at)", "ssa": "place IS NOT NULL AND place + 1 <= octet_length(encode(t))", "idx": "contains(coalesce(ls[1], ''), 'VobSub index file, v')", "smi": "contains(substr(st, 1, 10), '<sami>')",
+        "7z": "false", "zip": starts(zip_, "'PK00PK'"), "rar": starts("'Rar!'"), "ra": "false", "flac": starts("'fLaC'"), "lrc": ratio(hits("ls", match("LRC")), "len(ls)", 0.8), "avi": starts("'RIFF'") + " AND substr(t, 9, 8) = 'AVI LIST'",
+        "sub": f"({sections}) >= 5 OR (len(few) > 4 AND {hits('few', match('MICRODVD'))} > 0.8 * len(few))", "tmp": ratio(hits("ls", match("TMP")), "len(ls)", 0.8), "pjs": ratio("p.hits", "p.i", 0.8), "vtt": starts("'WEBVTT'") + f" AND {score} > 10",
+        "js": f"j.hits > 0 AND (j.hits / j.i > 0.8 OR (j.hits / j.i > 0.5 AND {hits('low', "contains(x, 'jaco')")} > 0))", "rt": f"len({tags}) >= 10 AND " + ratio(hits(tags, "starts_with(x, '<window') OR starts_with(x, '<time begin')"), f"len({tags})", 0.6), "smil": hits("low", "starts_with(trim(x), '<smil>')") + " > 0",
+        "tts": ratio(hits(own, match("TTS")), f"{hits(own, match('TTS'))} + {hits(own, f'NOT {match("TTS")} AND NOT ({prose})')}", 0.8), "xss": "contains(st, 'script=xombiesub')", "zeg": "contains(st, '% zerog')", "sup": "starts_with(t, 'PG') AND substr(t, 11, 2) = chr(22) || chr(0)",
+        "fsb": starts("'FanSubber v'") + f" AND regexp_matches(coalesce(ls[1], ''), '{_RE['FANSUBBER']}')", "s2k": starts("'// translated by Sami2Sasami'"),
+    }
+    found = "list_filter([" + ", ".join(f"CASE WHEN {rules[k]} THEN " + ("CASE WHEN substr(st, place::INT, 1) = '+' THEN 'ass' ELSE 'ssa' END" if k == "ssa" else f"'{k}'") + " END" for k in formats.KINDS) + "], lambda x: x IS NOT NULL)"
+    return f"""WITH a AS (SELECT {key}, {text} AS t, lower(substr({text}, 1, 2048)) AS st, upper(substr({text}, 1, 1024)) AS up, {_LINES.format(text)} AS every FROM {table}),
+    b AS (SELECT *, coalesce(list_slice(every, 1, list_min(list_filter(range(1, len(every) + 1), lambda i: length(every[i]) > 1024)) - 1), every) AS ls, strpos(st, ' styles]') AS s_at, strpos(st, 'scripttype:') AS k_at FROM a),
+    c AS (SELECT *, list_transform(ls, lambda x: lower(x)) AS low, list_slice(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> ''), 1, 21) AS few, {pjs} AS p, {js} AS j,
+      substr(st, greatest(s_at - 4, 1), 10) AS win, substr(st, greatest(k_at, 1), 20) AS named FROM b),
+    d AS (SELECT *, {first_of("ls", f"regexp_matches(ls[i], '{_RE['SRT']}')")} AS srt_at, {first_of("low", "contains(low[i], 'webvtt')")} AS vtt_at,
+      coalesce(CASE WHEN s_at > 0 AND strpos(win, 'v4') > 0 THEN greatest(s_at - 4, 1) + strpos(win, 'v4') + 1 END, CASE WHEN s_at > 0 AND strpos(win, 'v3') > 0 THEN greatest(s_at - 4, 1) + strpos(win, 'v3') + 1 END,
+        CASE WHEN k_at > 0 AND strpos(named, 'v4.00') > 0 THEN k_at + strpos(named, 'v4.00') + 4 END, CASE WHEN k_at > 0 AND strpos(named, 'v3.00') > 0 THEN k_at + strpos(named, 'v3.00') + 4 END) AS place FROM c),
+    e AS (SELECT {key}, CASE WHEN {undecided} THEN [] ELSE {found} END AS f FROM d)
+    SELECT {key}, CASE WHEN len(f) = 0 THEN NULL WHEN len(f) = 1 THEN f[1] WHEN list_contains(f, 'zip') THEN 'zip' WHEN list_contains(f, '7z') THEN '7z' WHEN list_contains(f, 'rar') THEN 'rar' ELSE array_to_string(f, ' ') END AS suggested_ext FROM e"""
+
+
 _MADE = r"""CASE event_type WHEN 'view' THEN repeat(concat('[', m, ':', s, '.50] ', props, chr(10)), 5) || 'end'
   WHEN 'click' THEN repeat(concat('{', event_id, '}{', event_id + 20, '}', props, chr(13), chr(10)), 6)
   WHEN 'error' THEN repeat(concat(h, ':', m, ':', s, ':', props, chr(10)), 5)
@@ -55,6 +111,11 @@ ORACLES: dict[str, str] = {
     "hash_null": "SELECT doc_id, '' AS digest FROM documents",
     "hash_crc32": f"SELECT o_orderkey, printf('%08X', {_crc(_KEY, kernels.CRC32)}) AS digest FROM orders",
     "hash_crc32c": f"SELECT o_orderkey, printf('%08X', {_crc(_KEY, kernels.CRC32C)}) AS digest FROM orders",
+    "hash_crc32c_texts": f"SELECT item_id, printf('%08X', {_crc('text', kernels.CRC32C)}) AS digest FROM benchmark",
+    "throughput_average": "SELECT user_id, " + ", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda a, x: a + (x - a) * (1 - exp(-60.0::DOUBLE / (60.0::DOUBLE * {m})))), 9) AS average_{m}" for m in (1, 5, 15)) + " FROM (SELECT user_id, list(length(props)::DOUBLE ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)",
+    "format_detect_documents": _detect("documents", "doc_id", "text"),
+    "format_detect_texts": _detect(f"(SELECT event_id, replace({_list(queries.TEXTS)}[(event_id % {len(queries.TEXTS)} + 1)::INT], '@', (event_id % 10)::VARCHAR) AS content FROM events)", "event_id", "content"),
+    "format_detect_pages": _detect("pages", "page_id", "html"),
     "multi_hash": "SELECT doc_id, upper(md5(text)) AS md5, upper(sha1(text)) AS sha1, upper(sha256(text)) AS sha2_256 FROM documents",
     "print_hashes_long": "SELECT doc_id, unnest(['MD5', 'SHA1', 'SHA2-256']) AS name, unnest(['MD5 => ' || upper(md5(text)), 'SHA1 => ' || upper(sha1(text)), 'SHA2-256 => ' || upper(sha256(text))]) AS line FROM documents",
     "base_convert": "WITH c AS (SELECT o_orderkey, " + _crc(_KEY, kernels.CRC32) + " AS n FROM orders) " + " UNION ALL ".join(f"SELECT o_orderkey, '{b}' AS base, {_digits('n', b)} AS rendered FROM c" for b in bases.ALPHABETS),
@@ -87,16 +148,18 @@ ORACLES: dict[str, str] = {
     "composite_first_wins": f"WITH i AS ({_items('supplier', 's', 0)} UNION ALL {_items('customer', 'c', 1)}) SELECT nation, key, value, provider FROM (SELECT *, row_number() OVER (PARTITION BY nation, key ORDER BY rank, ord) AS i FROM i) WHERE i = 1",
     "provider_union": " UNION ALL ".join(f"SELECT doc_id, '{t}' AS provider, {r} AS provider_rank, '{c}' AS key, {c}::VARCHAR AS value FROM {t}" for r, (t, cs) in enumerate((("documents", ("lang", "source")), ("labels", ("quality", "toxic")))) for c in cs),
     "largest_tags": "SELECT source, doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS i FROM documents) WHERE i = 1",
-    "fmt_f64": "SELECT event_id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS rendered FROM events",
+    "fmt_f64": f"""WITH v AS (SELECT event_id, value AS v, event_id::DOUBLE AS i FROM events),
+        w AS (SELECT event_id, v, [i / 1048576, -i / 3e9, i * 12345.0625, 0.000123456789012345::DOUBLE + i / 64, i * 1e9 + 0.25, (i + 1) / 1e7][(event_id % 6 + 1)::INT] AS f FROM v)
+        SELECT event_id, {_number("v")} AS rendered, {_number("f")} AS full_digits FROM w""",
     "fmt_timespan": f"""SELECT event_id, concat(CASE WHEN {_TS} < 0 THEN '-' ELSE '' END, CASE WHEN {_Q} // 4 >= 86400 THEN concat({_Q} // 4 // 86400, '.') ELSE '' END,
         printf('%02d:%02d:%02d', {_Q} // 4 // 3600 % 24, {_Q} // 4 // 60 % 60, {_Q} // 4 % 60), CASE WHEN {_Q} % 4 = 0 THEN '' ELSE printf('.%07d', {_Q} % 4 * 2500000) END) AS rendered FROM events""",
     "fmt_datetime": "SELECT event_id, strftime(ts, '%m/%d/%Y %H:%M:%S') AS rendered FROM events",
     "flag_names": f"WITH b AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 37 + l_linenumber) % 1024 AS b FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, array_to_string(list_filter({_FLAGS}, lambda x: x IS NOT NULL), ', ') AS names FROM b) SELECT l_orderkey, l_linenumber, CASE WHEN names = '' THEN 'Invalid' ELSE names END AS names FROM n",
-    "xml_report": """SELECT r_name AS path, concat('<FileInfo>', chr(10), '  <Path>', r_name, '</Path>', chr(10), '  <Items>', chr(10), coalesce(items, ''), '  </Items>', chr(10), '</FileInfo>') AS xml FROM region LEFT JOIN
-        (SELECT n_regionkey AS k, string_agg(concat('    <Item p="nation" n="', n_nationkey, '">', n_name, '</Item>', chr(10)), '' ORDER BY n_nationkey) AS items FROM nation GROUP BY 1) ON k = r_regionkey""",
+    "xml_report": f"""WITH n AS (SELECT n_regionkey AS k, string_agg(concat('    <Nation>', chr(10), {_item("keys", "Id", "Int64", "n_nationkey")}, {_item("keys", "Name", "String", "concat(n_name, ' &lt;&amp;&gt;')")}, {_item("more", "Full_name", "String", "lower(n_name)")}, '    </Nation>', chr(10)), '' ORDER BY n_nationkey) AS items FROM nation GROUP BY 1)
+        SELECT r_name AS path, concat('<FileInfo>', chr(10), '  <Path>', r_name, '</Path>', chr(10), '  <Size>', r_regionkey, '</Size>', chr(10), '  <Nations>', chr(10), items, '  </Nations>', chr(10), '</FileInfo>') AS xml FROM region JOIN n ON k = r_regionkey""",
     "null_stream": "SELECT 'NULL' || i AS tag, 8388608::BIGINT AS length FROM range(3) t(i)",
     "format_detect_subtitles": f"""WITH p AS (SELECT *, lpad((event_id % 24)::VARCHAR, 2, '0') AS h, lpad((event_id % 60)::VARCHAR, 2, '0') AS m, lpad((event_id % 59)::VARCHAR, 2, '0') AS s FROM events),
         l AS (SELECT event_id, {_LINES.format(_MADE)} AS ls FROM p)
-        SELECT event_id, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_SRT}'))) > 0 THEN 'srt' WHEN {_SHARE.format('[[]..:..[.]..[]]', 0.8)} THEN 'lrc'
+        SELECT event_id, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_RE["SRT"]}'))) > 0 THEN 'srt' WHEN {_SHARE.format('[[]..:..[.]..[]]', 0.8)} THEN 'lrc'
           WHEN len(ls) > 4 AND {_SHARE.format('^[{][0-9]*[}][{][0-9]*[}]', 0.8)} THEN 'sub' WHEN {_SHARE.format('^[0-9][0-9]:[0-9][0-9]:[0-9][0-9](.[0-9])?:', 0.8)} THEN 'tmp' END AS suggested_ext FROM l""",
 }

@@ -196,7 +196,7 @@ def _(spark, sf_dir):
 
 @query("track_index")
 def _(spark, sf_dir):
-    rows = stats.running_index(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"])
+    rows = stats.running_index(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], bucket=F.date_trunc("hour", F.col("ts").cast("timestamp")))
     return rows.select("event_id", "event_type", F.col("idx").cast("long").alias("idx"))
 
 
@@ -231,7 +231,10 @@ def _(spark, sf_dir):
 
 @query("fmt_f64")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", render.format_double(F.col("value")).alias("rendered"))
+    """The value, and a number of up to seventeen digits, some of them tiny or huge."""
+    i = F.col("event_id").cast("double")
+    full = F.element_at(F.array(i / 1048576, -i / 3e9, i * 12345.0625, F.lit(0.000123456789012345) + i / 64, i * 1e9 + 0.25, (i + 1) / 1e7), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", render.format_double(F.col("value")).alias("rendered"), render.format_double(full).alias("full_digits"))
 
 
 @query("fmt_timespan")
@@ -255,12 +258,29 @@ def _(spark, sf_dir):
 
 @query("xml_report")
 def _(spark, sf_dir):
-    """One report for each region, its nations as items in order of their keys."""
-    n = table(spark, sf_dir, "nation").withColumn("line", F.concat(F.lit('    <Item p="nation" n="'), F.col("n_nationkey").cast("string"), F.lit('">'), render.xml_text(F.col("n_name")), F.lit("</Item>\n")))
-    items = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", "line")))["line"], "").alias("items"))
-    both = table(spark, sf_dir, "region").join(items, "r_regionkey", "left")
-    xml = F.concat(F.lit("<FileInfo>\n  <Path>"), render.xml_text(F.col("r_name")), F.lit("</Path>\n  <Items>\n"), F.coalesce("items", F.lit("")), F.lit("  </Items>\n</FileInfo>"))
-    return both.select(F.col("r_name").alias("path"), xml.alias("xml"))
+    """One report for each region: its nations as nodes with their keys and comments, from items of two providers."""
+    from tessellon.operators import reports
+
+    n = table(spark, sf_dir, "nation")
+    text = lambda c: F.col(c).cast("string")
+    item = lambda i, key, kind, v: F.struct(F.lit(i).cast("long").alias("ord"), F.lit(key).alias("key"), F.lit(kind).alias("type"), v.alias("text"))
+
+    def rows(provider: str, rank: int, *items: Column) -> DataFrame:
+        node = F.concat(F.lit("/Nations/Nation:"), text("n_nationkey"))
+        own = n.join(table(spark, sf_dir, "region"), n["n_regionkey"] == F.col("r_regionkey")).select(F.col("r_name").alias("path"), node.alias("node"), "n_nationkey", F.explode(F.array(*items)).alias("i"))
+        order = F.col("n_nationkey") * 10 + F.col("i.ord")
+        return own.select("path", F.lit(provider).alias("provider"), F.lit(rank).alias("provider_rank"), F.lit("Nations").alias("root_type"), "node", order.alias("ord"), "i.key", "i.type", F.lit("Dimensionsless").alias("unit"), "i.text", F.lit(None).cast("array<string>").alias("parts"))
+
+    top = table(spark, sf_dir, "region").select(F.col("r_name").alias("path"), F.lit("keys").alias("provider"), F.lit(0).alias("provider_rank"), F.lit("Nations").alias("root_type"), F.lit("/Nations").alias("node"), F.lit(-1).cast("long").alias("ord"), F.lit("").alias("key"), F.lit("").alias("type"), F.lit("").alias("unit"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("parts"))
+    keys = rows("keys", 0, item(0, "Id", "Int64", text("n_nationkey")), item(1, "Name", "String", F.concat(F.col("n_name"), F.lit(" <&>"))))
+    more = rows("more", 1, item(0, "Id", "Int64", F.lit("not the first")), item(2, "Full name", "String", F.lower("n_name")))
+    files = table(spark, sf_dir, "region").select(F.col("r_name").alias("path"), F.col("r_regionkey").cast("long").alias("length"))
+    return reports.complete(top.unionByName(keys).unionByName(more), files)
+
+
+@query("hash_crc32c_texts")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.hex(digests.DIGESTS["CRC32C"](F.col("text"))).alias("digest"))
 
 
 @query("null_stream")
@@ -301,6 +321,52 @@ def _(spark, sf_dir):
     return formats.detect(made, "content", keep=["event_id"]).select("event_id", "suggested_ext")
 
 
+#: Small texts of many kinds, near misses among them; @ stands for a number.
+TEXTS = [
+    "1\n00:00:01,000 --> 00:00:0@,000\nhi\n",
+    "webvtt\n1\n00:00:01,000 --> 00:00:0@,000\nhi\n",
+    "WEBVTT\n\nNOTE a@\nSTYLE\nb\n\n00:01.000 --> 00:02.000\nhi",
+    "WEBVTT\n\nregion\n",
+    "[Script Info]\nScriptType: v4.00+\n[V4+ Styles]\n",
+    "[Script Info]\nScriptType: v4.00\nx@",
+    "[V4 Styles]\nFormat: @",
+    "# VobSub index file, v7 (do not modify this line!)\nid: en, index: @",
+    "<SAMI>\n<HEAD>@",
+    "PK00PK@",
+    "Rar!@",
+    "fLaC@",
+    "[00:0@.50] a\n[00:02.00] b\n[00:03.00] c\n",
+    "[00:01.50] a\nb\nc @\n",
+    "RIFF----AVI LIST@",
+    "RIFF----WAVEfmt @",
+    "[BEGIN]\n[INFORMATION]\n[TITLE]x@\n[AUTHOR]\n[SOURCE]\n[PRG]\n",
+    "{1}{2}a\n{3}{4}b\n{5}{6}c\n{7}{8}d\n{9}{@}e\n",
+    "00:00:01:a\n00:00:02:b@\n00:00:03.5:c\n",
+    '1, 2,"a@"\n 3, 4,"b\nmore"\n5,6,"c"\n',
+    "#JACOsub\n0:00:01.00 0:00:02.00 a@\n0:00:03.00 0:00:04.00 b \\\ngoes on\nother\n",
+    "<window>\n" + "<time begin='@'>\n" * 10 + "<br/>\n",
+    "<window>\n<time begin='@'>\n",
+    "<xml>\n  <SMIL>@\n",
+    "00:00:01.0,00:00:02.0,a@\n00:00:03.0,00:00:04.0,b\n# note\nplain words here\n",
+    "x script=XombieSub @",
+    "% Zerog @",
+    "FanSubber v1.2@\nx",
+    "FanSubber vX",
+    "// translated by Sami2Sasami@",
+    "plain text @",
+    "PK",
+    "",
+]
+
+
+@query("format_detect_texts")
+def _(spark, sf_dir):
+    i = F.col("event_id")
+    content = F.replace(F.get(F.lit(TEXTS), (i % len(TEXTS)).cast("int")), F.lit("@"), (i % 10).cast("string"))
+    made = table(spark, sf_dir, "events").select("event_id", content.alias("content"))
+    return formats.detect(made, "content", keep=["event_id"]).select("event_id", "suggested_ext")
+
+
 def _parsed(kind: str) -> Query:
     """Items of a small file of a kind, through the same parser as real ones."""
 
@@ -329,6 +395,7 @@ def _(spark, sf_dir):
 
 @query("throughput_average")
 def _(spark, sf_dir):
-    """Exponential averages of bytes by user over the order of events."""
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", F.length("props").alias("n"), F.lit(60.0).alias("s"))
-    return stats.averages(rows, ["user_id"], ["ts"], "n", "s")
+    """Exponential averages of bytes by user over the order of events, to nine places."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.length("props").alias("n"), F.lit(60.0).alias("s"))
+    out = stats.averages(rows, ["user_id"], ["ts", "event_id"], "n", "s", bucket=F.date_trunc("day", F.col("ts").cast("timestamp")))
+    return out.select("user_id", *[F.round(f"average_{m}", 9).alias(f"average_{m}") for m in (1, 5, 15)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, fields
 
+# The pattern of arguments, and the words for yes and no.
 _ARGUMENT = re.compile(r"^--?(?:([a-zA-Z0-9]+)\.)?([a-zA-Z0-9_][a-zA-Z0-9-]*)(?:=(.*))?$")
 _YES, _NO = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
 

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessellon.functions import bases, digests, kernels
+from tessellon.functions import bases, digests, jvm, kernels
 
 
 def test_vectors():
@@ -94,3 +94,30 @@ def test_bases():
         assert sum(digits.index(c) * len(digits) ** i for i, c in enumerate(reversed(text))) == int.from_bytes(crc)
         assert len(text) == bases.width(4, len(digits))
     assert bases.base32(b"foobar") == base64.b32encode(b"foobar").decode().rstrip("=")
+
+
+NAMES = ["MD4", "TIGER", "TTH", "CRC32C", "KECCAK-224", "KECCAK-256", "KECCAK-384", "KECCAK-512", "SHA3-224", "SHA3-256", "SHA3-384", "SHA3-512"]
+
+
+def test_the_jvm_gives_what_the_kernels_give(spark, monkeypatch):
+    assert jvm.available(spark)
+    data = [bytes(i * 31 % 256 for i in range(n)) for n in (0, 1, 3, 48, 49, 55, 56, 57, 63, 64, 65, 71, 72, 135, 136, 137, 1000, 1023, 1024, 1025, 2048, 4097, 70001)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)] + [(99, None)], "i int, x binary")
+    columns = lambda: df.select("i", *[digests.DIGESTS[n](F.col("x")).alias(n) for n in NAMES], digests.ed2k(F.col("x")).alias("ed2k")).orderBy("i")
+    fast = columns()
+    assert "tessellon_digest" in fast._jdf.queryExecution().toString() and "Python" not in fast._jdf.queryExecution().toString()
+    monkeypatch.setattr(jvm, "available", lambda *_: False)
+    slow = columns().collect()
+    assert [r[:-1] for r in fast.collect()] == [r[:-1] for r in slow]
+    some = lambda rows: [(bytes(r.ed2k.red), r.ed2k.blue) for r in rows[:-1]]
+    assert some(fast.collect()) == some(slow) and fast.collect()[-1].ed2k is None
+
+
+def test_files_are_streamed(spark, tmp_path):
+    data = bytes(i * 7 % 251 for i in range(300_000)) * 40
+    (tmp_path / "big [1].bin").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "big [1].bin"),), (str(tmp_path / "gone"),)], "path string")
+    good, bad = digests.of_files(files, [*NAMES, "ED2K", "ED2K2", "MD5", "SHA2-512"]).orderBy("path").collect()
+    assert bad.error.startswith("FileNotFoundException") and bad.MD5 is None and good.error is None
+    assert good.MD5 == hashlib.md5(data).digest() and good["SHA2-512"] == hashlib.sha512(data).digest() and good["SHA3-256"] == hashlib.sha3_256(data).digest()
+    assert (bytes(good.ED2K), good.ED2K2) == kernels.ed2k([data])[0] and good.CRC32C == kernels.crc([data], kernels.CRC32C)[0]

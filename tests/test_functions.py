@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from tessellon.functions import paths, render, text
@@ -10,7 +12,7 @@ def one(spark, column, **values):
 
 
 def test_numbers(spark):
-    for x, want in [(24.0, "24"), (-0.0, "0"), (1.5e-7, "1.5E-07"), (23.976, "23.976"), (0.0005, "0.0005"), (1e15, "1E+15"), (2.5e20, "2.5E+20"), (float("nan"), "NaN"), (float("-inf"), "-Infinity"), (0.1, "0.1")]:
+    for x, want in [(24.0, "24"), (-0.0, "0"), (1.5e-7, "1.5E-07"), (23.976, "23.976"), (0.0005, "0.0005"), (1e15, "1E+15"), (2.5e20, "2.5E+20"), (float("nan"), "NaN"), (float("-inf"), "-Infinity"), (0.1, "0.1"), (0.000123456789012345, "0.000123456789012345"), (-0.00015, "-0.00015"), (12345678.125, "12345678.125"), (-98765432109876.25, "-98765432109876.25"), (99999999.5, "99999999.5")]:
         assert one(spark, render.format_double(F.col("x")), x=x) == want
 
 
@@ -156,3 +158,16 @@ def test_formats(spark):
     df = spark.createDataFrame(rows, "id long, content binary")
     got = {r.id: r.suggested_ext for r in formats.detect(df, "content").collect()}
     assert [got[i] for i, _ in rows] == list(FORMATS.values())
+
+
+def test_buckets_change_nothing(spark):
+    rows = spark.range(4000).selectExpr("id % 3 AS k", "(id * 7919) % 4001 AS t", "CAST(id % 50 AS DOUBLE) AS v", "CAST(1 + id % 9 AS DOUBLE) AS s")
+    one = stats.running_index(rows, ["k"], ["t"]).orderBy("k", "t").collect()
+    assert stats.running_index(rows, ["k"], ["t"], bucket=F.floor(F.col("t") / 100)).orderBy("k", "t").collect() == one
+    plain = {}
+    for r in sorted(rows.collect(), key=lambda r: r.t):
+        plain[r.k] = plain.get(r.k, 0.0) + (r.v - plain.get(r.k, 0.0)) * (1 - math.exp(-r.s / 300))
+    for bucket in (None, F.floor(F.col("t") / 100)):
+        got = {r.k: r.average_5 for r in stats.averages(rows, ["k"], ["t"], "v", "s", bucket=bucket).collect()}
+        assert all(abs(got[k] - x) < 1e-9 for k, x in plain.items())
+    assert [r.e for r in rows.limit(1).select(F.explode(F.array(stats.eta(F.lit(10), F.lit(30), F.lit(4.0)), stats.eta(F.lit(30), F.lit(20), F.lit(4.0)))).alias("e")).collect()] == [5.0, 0.0]

@@ -91,3 +91,36 @@ def test_xml_and_values(xml):
     assert values.xml(("a b", {"k": '"<'}, [("x", {}, "1 & 2"), ("y", {}, "")])) == '<a_b k="&quot;&lt;">\n  <x>1 &amp; 2</x>\n  <y />\n</a_b>'
     assert [values.double(x) for x in (24.0, 1.5e-7, 2.5e20, 0.1)] == ["24", "1.5E-07", "2.5E+20", "0.1"]
     assert values.time_span(90000.0) == "1.01:00:00" and values.date_time(978307200.0) == "01/01/2001 00:00:00"
+
+
+def _cluster(*blocks):
+    return media.ebml(0x1F43B675, media.uint(0xE7, 100) + b"".join(media.ebml(0xA3, bytes([0x80 | t]) + at.to_bytes(2, "big") + b"\x80" + b"x" * 9) for t, at in blocks))
+
+
+_HEAD = media.ebml(0x1A45DFA3, media.ebml(0x4282, b"matroska"))
+_INFO = media.ebml(0x1549A966, media.uint(0x2AD7B1, 1000))
+_TRACKS = media.ebml(0x1654AE6B, media.ebml(0xAE, media.uint(0xD7, 1) + media.uint(0x73C5, 9) + media.uint(0x83, 1) + media.ebml(0x23314F, b"\x40\x00\x00\x00")))
+_VOID = media.ebml(0xEC, bytes(5000))
+
+
+def test_matroska_size_rules():
+    whole = _HEAD + media.ebml(0x18538067, _INFO + _TRACKS + _VOID)
+    assert providers.matroska(whole) is not None
+    assert providers.matroska(whole + bytes(len(whole) // 50)) is None  # a tail of two per cent
+    large = _HEAD + media.ebml(0x18538067, _INFO + _TRACKS + _VOID + media.ebml(0xEC, bytes(200 << 20)))
+    assert providers.matroska(large + bytes(1 << 19)) is not None and providers.matroska(large + bytes((1 << 20) + 99)) is None
+    assert providers.matroska(_HEAD + media.ebml(0x18538067, _INFO + _VOID)) is None
+    assert providers.matroska(_HEAD + b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + _INFO + _TRACKS) is not None
+
+
+def test_matroska_without_a_segment_element():
+    node = providers.matroska(_HEAD + _INFO + _TRACKS + _cluster((1, 0), (1, 40)))
+    assert node is not None and [n.type for n in node.nodes] == ["VideoStream"]
+    far = b"".join(media.ebml(0x1F43B675, bytes(3 << 20)) for _ in range(3))
+    assert providers.matroska(_HEAD + far + _INFO + _TRACKS) is None
+
+
+def test_blocks_before_their_track_and_scale():
+    data = _HEAD + media.ebml(0x18538067, _cluster((1, 5)) + _INFO + _cluster((1, 7)) + _TRACKS + _cluster((1, 9), (2, 3)) + _VOID)
+    assert [(t, at) for t, at, *_ in containers.blocks(data)] == [(1, 0), (1, 107_000), (1, 218_000), (2, 103_000)]
+    assert dict((k, v) for k, _, _, v in providers.matroska(data).nodes[0].items)["Size"] == 27
