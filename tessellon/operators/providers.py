@@ -450,7 +450,8 @@ _ARCHIVES, _MEDIA = ("7z", "zip", "rar"), ("smil",)
 
 def format_items(detected: DataFrame, rank: int = 3) -> DataFrame:
     """Items of formats.detect(): (path, suggested_ext): the extension; for a sure format also its identifier, of archives at the
-    root, of others in a stream of its own."""
+    root, of others in a stream of its own; an index file has as many streams as its idx_streams (subtitles.index_column), where
+    that column is there, with their languages and numbers."""
     one = F.col("suggested_ext")
     name = F.coalesce(*[F.when(one == k, F.lit(v)) for k, v in _IDENTIFIERS.items()])
     stream = F.when(one.isin(*_MEDIA), "/MediaProvider/MediaStream:0").otherwise("/MediaProvider/SubtitleStream:0")
@@ -459,6 +460,16 @@ def format_items(detected: DataFrame, rank: int = 3) -> DataFrame:
     root, empty = F.lit("/MediaProvider"), F.lit(None).cast("array<string>")
     first = row(0, root, "SuggestedFileExtension", "ImmutableArray`1", none, F.array(one))
     archive = F.when(one.isin(*_ARCHIVES), row(1, root, "FileTypeIdentifier", "String", name, empty))
-    other = F.when(~one.isin(*_ARCHIVES) & name.isNotNull(), row(1, stream, "ContainerCodecId", "String", name, empty))
-    rows = F.explode(F.array_compact(F.array(first, archive, other))).alias("r")
+    listed = (one == "idx") if "idx_streams" in detected.columns else F.lit(False)
+    other = F.when(~one.isin(*_ARCHIVES) & name.isNotNull() & ~listed, row(1, stream, "ContainerCodecId", "String", name, empty))
+    rows = F.array_compact(F.array(first, archive, other))
+    if "idx_streams" in detected.columns:
+        at = lambda x: F.concat(F.lit("/MediaProvider/SubtitleStream:"), x["ord"].cast("string"))
+        several = lambda x: F.array(
+            row(1, at(x), "ContainerCodecId", "String", name, empty).withField("ord", x["ord"] * 3 + 1),
+            row(2, at(x), "Language", "String", x["language"], empty).withField("ord", x["ord"] * 3 + 2),
+            row(3, at(x), "Index", "Int32", x["index"].cast("string"), empty).withField("ord", x["ord"] * 3 + 3),
+        )
+        rows = F.concat(rows, F.flatten(F.transform(F.when(listed, F.coalesce("idx_streams", F.array().cast(subtitles.STREAMS))).otherwise(F.array().cast(subtitles.STREAMS)), several)))
+    rows = F.explode(rows).alias("r")
     return detected.filter(one.isNotNull()).select("path", rows).select("path", F.lit("FormatInfoProvider").alias("provider"), F.lit(rank).alias("provider_rank"), F.lit("MediaProvider").alias("root_type"), "r.node", "r.ord", "r.key", "r.type", F.lit(NONE).alias("unit"), "r.text", "r.parts")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 # Fixed patterns of index files.
 _TAG = re.compile(r"(?m)^([^#\r\n]+?):[ ]?([^\r\n]+)")
@@ -62,3 +64,13 @@ def index_rows(files: DataFrame, text: str = "text", path: str = "path") -> Data
             yield pd.DataFrame(rows, columns=["path", "ord", "index", "language", "subtitles"])
 
     return files.selectExpr(f"`{path}` AS p", f"`{text}` AS t").mapInPandas(run, "path string, ord int, index int, language string, subtitles long")
+
+
+STREAMS = "array<struct<ord: bigint, index: int, language: string>>"
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("ord", LongType()), StructField("index", IntegerType()), StructField("language", StringType())])))
+def index_column(text: pd.Series) -> pd.Series:
+    """The streams of an index file that hold a subtitle, with their place; null for null."""
+    found = lambda t: [{"ord": i, "index": n, "language": name} for i, (n, name, many) in enumerate(index_streams(t)) if many]
+    return text.map(lambda t: None if t is None else found(t))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import digests, jvm, paths
 from tessellon.functions import text as T
-from tessellon.operators import discovery, formats, merge, providers, reports
+from tessellon.operators import discovery, formats, merge, providers, reports, subtitles
 from tessellon.plans.settings import Settings
 from tessellon.sources import files, sinks
 
@@ -122,6 +122,8 @@ def wide(contents: DataFrame, settings: Settings) -> DataFrame:
     if structure:
         for name, make in reports.STRUCTURES.items():
             read = read.withColumn(f"xml_{name}", reports.column(make)(F.col("_parsed")))
+    index = F.contains(T.decoded(F.substring("_parsed", 1, 64)), F.lit("VobSub index file, v"))
+    read = read.withColumn("idx_streams", subtitles.index_column(F.when(index, T.decoded(T.head(F.col("_parsed"))))))
     keep = [c for c in read.columns if c != "_parsed"]
     return formats.detect(read, "_parsed", "length", keep=keep)
 
@@ -135,7 +137,7 @@ def run(contents: DataFrame, settings: Settings, folder: str | None = None) -> R
         table = contents.sparkSession.read.schema(table.schema).parquet(path)
     names, parse, _ = _wanted(settings)
     long = digests.long_form(table, ["path"], names)
-    suggested = table.filter("error IS NULL").select("path", "length", "candidates", "suggested_ext")
+    suggested = table.filter("error IS NULL").select("path", "length", "candidates", "suggested_ext", "idx_streams")
     items = providers.format_items(suggested).unionByName(providers.digest_items(long))
     if parse:
         items = table.select("path", F.explode("found").alias("i")).select("path", "i.*").unionByName(items)

@@ -153,3 +153,14 @@ def test_registered_reports(spark, tree, tmp_path):
         assert "<Size>3</Size>" in done.lines
     finally:
         del reports.OWN["Sizes"]
+
+
+def test_streams_of_an_index_file(spark, tree, tmp_path):
+    with open(f"{tree}/x.idx", "w") as f:
+        f.write("# VobSub index file, v7 (do not modify this line!)\nid: en, index: 0\n# alt: English\ntimestamp: 00:00:01:000, filepos: 0\nid: de, index: 4\nid: fr, index: 5\ntimestamp: 00:00:02:000, filepos: 0\n")
+    done = process.process(spark, [f"{tree}/x.idx", f"{tree}/subs.srt"], Settings(consumers=["CRC32"]), str(tmp_path))
+    rows = {(os.path.basename(r.path), r.node, r.key): r.text for r in done.items.collect()}
+    stream = "/MediaProvider/SubtitleStream:"
+    assert rows["x.idx", f"{stream}0", "Language"] == "English" and rows["x.idx", f"{stream}2", "Language"] == "fr" and rows["x.idx", f"{stream}2", "Index"] == "5"
+    assert rows["x.idx", f"{stream}0", "ContainerCodecId"] == "text/idx" and ("x.idx", f"{stream}1", "Index") not in rows
+    assert rows["subs.srt", f"{stream}0", "ContainerCodecId"] == "text/srt"
