@@ -39,7 +39,7 @@ from tessellon.llm.scratch import materialize
 CAPACITY = 2048
 GROUPS = 4096
 #: Bytes that a worker keeps of encoded words and of their letters; beyond it they are encoded again.
-WORDS_BYTES, LETTERS_BYTES = 56 << 20, 56 << 20
+WORDS_BYTES, LETTERS_BYTES = 24 << 20, 48 << 20
 #: The rules of a tokenizer under which no token reaches over white space or from letters to marks.
 _LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]

@@ -7,8 +7,9 @@ labelled_rows() makes, and decoded by Viterbi over batches of lines in numpy. An
 patterns' spans.
 
 For speed, a token's features are numbers of what the training has met, its scores are sums of rows of small tables, and
-Viterbi is left out where it is proved to give no span: a span's gain over no span is at most the sum of its tokens' bounds
-(the best other tag against none, with the best transitions), so a line on which no token has a bound over 0 has none.
+Viterbi is left out where it is proved to give no span: against no tag, a span gains what its first token and its other
+tokens score, with the best transitions; a token that lies in no span whose gain can be over 0 has no tag. What is between
+such tokens is decoded on its own, with none before and after it.
 
 Defined results: null is an empty text without spans; positions are code points; ties go by kind in the order of KINDS;
 repeated rows are searched each; very long texts and lines are read in slices, and each line is decoded as a whole; other
@@ -276,9 +277,10 @@ class Field:
             self.cued[at] = i
         self.triples, self.pairs = np.array(triples, np.float32), np.array([none, *cued.values()], np.float32)
         self.first_pad, self.last_pad = (self._class(o) for o in _PADS)
-        # The best transition to a tag, and from any tag back, against staying without one.
-        self.into = np.maximum(np.where(self.allowed, self.t, -np.inf).max(0) - self.t[0, 0], 0).astype(np.float32)[1:]
-        self.back = max(0.0, float((self.t[1:, 0] - self.t[0, 0]).max()))
+        # For each kind what transitions can add to a span at its first token, at each other one, and behind it, against no tag.
+        starts = [i for i, t in enumerate(self.tags) if not t.startswith("I-")]
+        kinds, t = [(self.tags.index(f"B-{k}"), self.tags.index(f"I-{k}")) for k in KINDS[4:]], self.t
+        self.steps = [(b, i, max(0.0, (t[:, b] - t[:, 0]).max()), max(t[b, i], t[i, i]) - t[0, 0], max(0.0, (t[[b, i]][:, starts] - t[0, starts]).max())) for b, i in kinds]
 
     def _weight(self, feature: str) -> np.ndarray:
         return self.w[self.names.get(feature, len(self.names))]
@@ -320,11 +322,18 @@ class Field:
         out[2:] += self.pairs[self.cued[self.joint[c[:-2], c[1:-1]], sl[line[2:]]]]
         return out
 
-    def may_span(self, emit: np.ndarray) -> np.ndarray:
-        """Which tokens have a bound over 0 (less a margin for rounding)."""
-        return (emit[:, 1:] + self.into).max(1) + self.back > emit[:, 0] - 1e-2
-
-    def viterbi(self, emits: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
+    def may_be_tagged(self, emit: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Which of the real tokens (the others are pads) lie in a span that can gain (a little less than 0, for rounding)."""
+        out = np.zeros(len(emit), bool)
+        for begins, inside, first, other, behind in self.steps:
+            one = np.where(real, emit[:, begins] - emit[:, 0] + first, -1e4)
+            sums = np.cumsum(np.where(real, emit[:, inside] - emit[:, 0] + other, -1e4), dtype=np.float64)
+            best_end = np.maximum.accumulate(sums[::-1])[::-1]
+            best_start = np.maximum.accumulate(one - sums)
+            out |= best_start + best_end + behind > -1e-2
+        return out & real
+
+    def viterbi(self, emits: list[np.ndarray], batch: int = 2048) -> list[np.ndarray]:
         """The numbers of the likeliest tags of each line, over batches of lines of like length."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(emits)
         order = sorted((i for i in range(len(emits)) if len(emits[i])), key=lambda i: len(emits[i]))
@@ -408,29 +417,31 @@ def added_spans(texts: list[str | None], model: Field) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     wide, first, of_text = _lined([_classed(t or "", model) for t in texts], model)
     last = np.append(first[1:] - 4, len(wide) - 2)
-    text, emits, which, s = np.repeat(np.arange(len(texts)), np.diff(of_text)), [], [], 0
+    text, emits, where, s = np.repeat(np.arange(len(texts)), np.diff(of_text)), [], [], 0
+    none = np.full(len(model.tags), -1e9, np.float32)
+    none[0] = 0
     while s < len(first):  # lines of about a slice at once
         e = max(s + 1, int(np.searchsorted(first, first[s] + SLICE)))
         a, b = int(first[s]) - 2, int(last[e - 1]) + 2
         cuts = [(max(a, i - 2), i) for i in range(a, b, SLICE)]  # slices reach as far as features do
         emit = np.concatenate([model.emissions(wide[lo : min(b, i + SLICE + 2)])[i - lo :][:SLICE] for lo, i in cuts])
-        hit = np.flatnonzero(model.may_span(emit)) + a
-        line = np.searchsorted(first, hit, "right") - 1
-        for i in np.unique(line[(line >= 0) & (hit < last[line])]).tolist():
-            emits.append(emit[first[i] - a : last[i] - a].copy())
-            which.append(i)
+        real = (wide[a:b] != model.first_pad) & (wide[a:b] != model.last_pad)
+        some = np.concatenate([[False], model.may_be_tagged(emit, real), [False]])
+        edges = np.flatnonzero(some[1:] != some[:-1])
+        for lo, hi in edges.reshape(-1, 2).tolist():
+            emits.append(np.concatenate([none[None]] * bool(real[lo - 1]) + [emit[lo:hi]] + [none[None]] * bool(real[hi])))
+            where.append(lo + a - bool(real[lo - 1]))
         s = e
-    at_line: dict[int, list[int]] = {}
-    for i, path in zip(which, model.viterbi(emits), strict=True):
-        if not path.any():
-            continue
-        t = int(text[i])
-        if t not in at_line:
-            at_line.clear()
-            ends = [m.start() + 1 for m in re.finditer("\n", texts[t])]
-            at_line[t] = [0, *ends, len(texts[t]) + 1]
-        k = i - of_text[t]
-        tokens = [m.span() for m in _TOKEN.finditer(texts[t], at_line[t][k], at_line[t][k + 1] - 1)]
+    tagged = [(at, path) for at, path in zip(where, model.viterbi(emits), strict=True) if path.any()]
+    now, starts, tokens, line = -1, [], [], -1
+    for at, path in tagged:
+        i = int(np.searchsorted(first, at, "right")) - 1
+        if int(text[i]) != now:
+            now = int(text[i])
+            starts = [0, *(m.start() + 1 for m in re.finditer("\n", texts[now])), len(texts[now]) + 1]
+        if i != line:
+            line, n = i, i - int(of_text[now])
+            tokens = [m.span() for m in _TOKEN.finditer(texts[now], starts[n], starts[n + 1] - 1)]
         k = 0
         while k < len(path):
             tag = model.tags[path[k]]
@@ -440,7 +451,8 @@ def added_spans(texts: list[str | None], model: Field) -> list[list[Span]]:
             e = k + 1
             while e < len(path) and model.tags[path[e]] == "I-" + tag[2:]:
                 e += 1
-            out[t].append((tokens[k][0], tokens[e - 1][1], tag[2:]))
+            place = at - int(first[i])
+            out[now].append((tokens[place + k][0], tokens[place + e - 1][1], tag[2:]))
             k = e
     return out
 
@@ -467,10 +479,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                found = spans(batch.column(1)[s : s + 512].to_pylist(), model)
+            for s in range(0, batch.num_rows, 128):
+                found = spans(batch.column(1)[s : s + 128].to_pylist(), model)
                 rows = [[{"start": a, "end": b, "kind": k, "base": own} for a, b, k, own in x] for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 512], pa.array(rows, kind)], names=[id_col, "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 128], pa.array(rows, kind)], names=[id_col, "spans"])
 
     return small.mapInArrow(kernels.trimmed(run), f"`{id_col}` {id_type}, spans {SPANS}")
 
@@ -497,8 +509,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
+            for s in range(0, batch.num_rows, 128):
+                part = batch.slice(s, 128)
                 texts = part.column(at).to_pylist()
                 new = [None if t is None else redacted(t, f) for t, f in zip(texts, spans(texts, model), strict=True)]
                 columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 _HERE = threading.local()
 _OWN: list[str] = []
 #: Bytes that go to a Python worker at once, at most (a longer row goes alone).
-BATCH = 8 << 20
+BATCH = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
