@@ -39,7 +39,9 @@ from tessellon.llm.scratch import materialize
 CAPACITY = 2048
 GROUPS = 4096
 #: Bytes that a worker keeps of encoded words and of their letters; beyond it they are encoded again.
-WORDS_BYTES, LETTERS_BYTES = 24 << 20, 48 << 20
+WORDS_BYTES, LETTERS_BYTES = 72 << 20, 24 << 20
+#: Texts whose pieces leave a worker at once.
+TEXTS = 256
 #: The rules of a tokenizer under which no token reaches over white space or from letters to marks.
 _LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -92,12 +94,15 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _many(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, from one text of them all with bars between, which only a bar gives."""
+        """The ids of each word, from texts of some words each with bars between, which only a bar gives."""
         if self.bar is None or len(words) < 2:
             return self._whole(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends, raw = [4 * i for i in np.flatnonzero(ids == self.bar).tolist()], ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast([" | ".join(words[i : i + 128]) for i in range(0, len(words), 128)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            ends, raw = (4 * np.flatnonzero(ids == self.bar)).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+        return out
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
         """Letters, with one mark after them or none, are letters' ids and the mark's: letters and marks never share a token."""
@@ -126,12 +131,12 @@ class WordEncoder:
             return b""
         if not self.by_words or "<|" in text or not plain(text):
             return self._whole([text])[0]
-        words, known, new = text.split(), self.known.data, {}
+        words, known = text.split(), self.known.data
         if missing := set(words).difference(known):
             new = self._words(missing)
-            if self.known.keep(new):
-                new = {}
-        return b"".join([known[w] if w in known else new[w] for w in words] if new else map(known.__getitem__, words))
+            if not self.known.keep(new):
+                return b"".join([known[w] if w in known else new[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
 
 
 def encoder(spec: bytes) -> WordEncoder:
@@ -154,10 +159,10 @@ def _encoded(docs: DataFrame, spec: bytes, closing_id: int, id_col: str, text_co
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = encoder(spec)
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                rows = [(i, *row) for i, t in enumerate(batch.column(1)[s : s + 512]) for row in cut(own.encode(t.as_py()) + close)]
+            for s in range(0, batch.num_rows, TEXTS):
+                rows = [(i, *row) for i, t in enumerate(batch.column(1)[s : s + TEXTS]) for row in cut(own.encode(t.as_py()) + close)]
                 at, *data = zip(*rows, strict=True) if rows else [[]] * (len(columns) + 1)
-                ids = batch.column(0)[s : s + 512].take(pa.array(at, pa.int64()))
+                ids = batch.column(0)[s : s + TEXTS].take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(d, t) for d, (_, t, _) in zip(data, columns, strict=True))], names=[id_col, *(c for c, _, _ in columns)])
 
     return small.mapInArrow(kernels.trimmed(run, "packing"), ", ".join([f"`{id_col}` {id_type}", *(f"{c} {t}" for c, _, t in columns)]))
