@@ -101,19 +101,20 @@ def _parsed(names: list[str]) -> Column:
     return run(F.col("path"), F.col("_parsed"))
 
 
-def wide(contents: DataFrame, settings: Settings) -> DataFrame:
+def wide(contents: DataFrame, settings: Settings, parallel: bool = False) -> DataFrame:
     """One row for each file: path, length, error, the digests by name, found (items), candidates, suggested_ext, structure.
 
     contents: (path, length), and content where the bytes are there already; else they are read here, once.
     """
     names, parse, copies = _wanted(settings)
     structure = any(r in reports.STRUCTURES for r in settings.reports)
-    most = PARSED if parse or structure else T.HEAD_BYTES
+    own = set(parse) - set(PARSERS.values())
+    head = f"HEAD-{PARSED if own else T.HEAD_BYTES}" if own or not (parse or structure) else f"MEDIA-{T.HEAD_BYTES}-{PARSED}"
     if "content" in contents.columns:
         read = contents.select("path", "length", F.lit(None).cast("string").alias("error"), *digests.digests(F.col("content"), names), F.col("content").alias("_parsed"))
     else:
-        asked = [*names, f"HEAD-{most}", *(f"CPY|{c}" for c in copies)]
-        got = contents.select("path", "length", jvm.of_file(F.col("path"), asked, TRIES).alias("_got"))
+        asked = [*names, head, *(f"CPY|{c}" for c in copies)]
+        got = contents.select("path", "length", jvm.of_file(F.col("path"), asked, TRIES, parallel).alias("_got"))
         read = got.select("path", "length", F.get("_got", F.lit(len(asked))).cast("string").alias("error"), *[F.get("_got", F.lit(i)).alias(n) for i, n in enumerate(names)], F.get("_got", F.lit(len(names))).alias("_parsed"))
     if parse:
         read = read.withColumn("found", _parsed(parse))
@@ -128,9 +129,10 @@ def wide(contents: DataFrame, settings: Settings) -> DataFrame:
     return formats.detect(read, "_parsed", "length", keep=keep)
 
 
-def run(contents: DataFrame, settings: Settings, folder: str | None = None) -> Run:
-    """contents: path, length, and content or not. With a folder (shared by all executors) the wide table is stored there."""
-    table = wide(contents, settings)
+def run(contents: DataFrame, settings: Settings, folder: str | None = None, parallel: bool = False) -> Run:
+    """contents: path, length, and content or not. With a folder (shared by all executors) the wide table is stored there.
+    parallel: each file is digested by several threads."""
+    table = wide(contents, settings, parallel)
     if folder:
         path = f"{folder}/run-{uuid.uuid4().hex}"
         table.write.parquet(path)
@@ -204,9 +206,10 @@ def move_plan(done: Run, settings: Settings) -> DataFrame:
 
 def process(spark: SparkSession, entries: list[str], settings: Settings, folder: str | None = None) -> Run:
     """A run over files and folders that the driver lists, of any size, empty ones included. No path is collected."""
-    found = discovered(spark, files.listed(spark, entries, settings.recursive), settings)
+    listed = files.walk(entries, settings.recursive)[0]
+    found = discovered(spark, spark.createDataFrame(listed, files.FILES), settings)
     if jvm.available(spark):
-        return run(found.select("path", "length"), settings, folder)
+        return run(found.select("path", "length"), settings, folder, 2 * len(listed) <= spark.sparkContext.defaultParallelism)
     some = [files.literal(e) for e in entries]
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(some).select("path", "length", "content")
     return run(files.with_empty(read, found).join(found.select("path"), "path", "left_semi"), settings, folder)

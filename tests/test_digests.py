@@ -121,3 +121,14 @@ def test_files_are_streamed(spark, tmp_path):
     assert bad.error.startswith("FileNotFoundException") and bad.MD5 is None and good.error is None
     assert good.MD5 == hashlib.md5(data).digest() and good["SHA2-512"] == hashlib.sha512(data).digest() and good["SHA3-256"] == hashlib.sha3_256(data).digest()
     assert (bytes(good.ED2K), good.ED2K2) == kernels.ed2k([data])[0] and good.CRC32C == kernels.crc([data], kernels.CRC32C)[0]
+
+
+def test_threads_give_the_same(spark, tmp_path):
+    for n in (0, 5, (4 << 20) - 1, 4 << 20, (8 << 20) + 1025, 13 << 20):
+        data = bytes(i * 7 % 251 for i in range(1021)) * (n // 1021 + 1)
+        (tmp_path / "x").write_bytes(data[:n])
+        asked = ["TTH", "ED2K", "MD5", "TIGER", "HEAD-7", "MEDIA-3-9"]
+        one, two = (spark.range(1).select(jvm.of_file(F.lit(str(tmp_path / "x")), asked, 3, p).alias("x")).first().x for p in (False, True))
+        assert one == two and bytes(one[2]) == hashlib.md5(data[:n]).digest() and bytes(one[4]) == data[:n][:7] and bytes(one[5]) == data[:n][:3]
+    (tmp_path / "x").write_bytes(b"OggS" + bytes(50))
+    assert len(spark.range(1).select(jvm.of_file(F.lit(str(tmp_path / "x")), ["MEDIA-3-9"]).alias("x")).first().x[0]) == 9
