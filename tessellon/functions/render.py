@@ -57,8 +57,8 @@ def format_dhms(seconds: Column) -> Column:
 
 def flag_names(bits: Column, names: dict[int, str], none: str = "Invalid") -> Column:
     """Names of the set bits, the lowest first."""
-    each = [F.when(bits.cast("long").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in names.items()]
-    text = F.array_join(F.array_compact(F.array(*each)), ", ")
+    own = bits.cast("long")
+    text = F.concat_ws(", ", *[F.when(own.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in names.items()])
     return F.when(text == "", none).otherwise(text)
 
 

@@ -4,14 +4,14 @@ are folded in order. The ranges of a file go to many tasks; what meets in one pl
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessellon.functions import kernels
+from tessellon.functions import jvm, kernels
 
 
 def ranges(files: DataFrame, size: int = kernels.ED2K_CHUNK) -> DataFrame:
@@ -35,7 +35,11 @@ def read_ranges(rows: DataFrame) -> DataFrame:
     return rows.repartition("path", "idx").mapInPandas(run, schema)
 
 
-def _each(many) -> Column:
+def _each(name: str, many) -> Callable:
+    """A digest of a column: in the JVM where there is one, else by a kernel."""
+    if jvm.available():
+        return lambda c: jvm.of_content(F.col(c) if isinstance(c, str) else c, name)
+
     @F.pandas_udf(BinaryType())
     def run(x: pd.Series) -> pd.Series:
         return pd.Series(many([bytes(v) for v in x]), dtype=object)
@@ -49,7 +53,7 @@ def _folded(parts: DataFrame) -> Column:
 
 def ed2k(parts: DataFrame) -> DataFrame:
     """(path, red, blue) from ranges of ED2K's chunk size: path, length, idx, content."""
-    md4 = _each(kernels.md4)
+    md4 = _each("MD4", kernels.md4)
     one = parts.select("path", "length", "idx", md4("content").alias("part"))
     both = one.groupBy("path", "length").agg(F.unhex(_folded(one)).alias("all"), F.min_by("part", "idx").alias("first"))
     whole = (F.col("length") % kernels.ED2K_CHUNK == 0) & (F.col("length") > 0)
@@ -64,7 +68,7 @@ def tth(parts: DataFrame, size: int) -> DataFrame:
     """(path, tth) from ranges of a size that is 1024 times a power of two: each range is a whole subtree."""
     if size & (size - 1) or size < 1024:
         raise ValueError("ranges must be 1024 times a power of two")
-    one = parts.select("path", "idx", _each(kernels.tth)("content").alias("part"))
+    one = parts.select("path", "idx", _each("TTH", kernels.tth)("content").alias("part"))
     both = one.groupBy("path").agg(F.unhex(_folded(one)).alias("all"))
 
     @F.pandas_udf(BinaryType())

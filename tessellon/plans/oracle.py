@@ -157,7 +157,7 @@ ORACLES: dict[str, str] = {
     "flag_names": f"WITH b AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 37 + l_linenumber) % 1024 AS b FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, array_to_string(list_filter({_FLAGS}, lambda x: x IS NOT NULL), ', ') AS names FROM b) SELECT l_orderkey, l_linenumber, CASE WHEN names = '' THEN 'Invalid' ELSE names END AS names FROM n",
     "xml_report": f"""WITH n AS (SELECT n_regionkey AS k, string_agg(concat('    <Nation>', chr(10), {_item("keys", "Id", "Int64", "n_nationkey")}, {_item("keys", "Name", "String", "concat(n_name, ' &lt;&amp;&gt;')")}, {_item("more", "Full_name", "String", "lower(n_name)")}, '    </Nation>', chr(10)), '' ORDER BY n_nationkey) AS items FROM nation GROUP BY 1)
         SELECT r_name AS path, concat('<FileInfo>', chr(10), '  <Path>', r_name, '</Path>', chr(10), '  <Size>', r_regionkey, '</Size>', chr(10), '  <Nations>', chr(10), items, '  </Nations>', chr(10), '</FileInfo>') AS xml FROM region JOIN n ON k = r_regionkey""",
-    "null_stream": "SELECT 'NULL' || i AS tag, 8388608::BIGINT AS length FROM range(3) t(i)",
+    "null_stream": "SELECT 'NULL' || i AS tag, 8388608::BIGINT AS length, 8388608::BIGINT AS bytes, upper(md5(repeat(chr(0), 8388608))) AS md5 FROM range(3) t(i)",
     "format_detect_subtitles": f"""WITH p AS (SELECT *, lpad((event_id % 24)::VARCHAR, 2, '0') AS h, lpad((event_id % 60)::VARCHAR, 2, '0') AS m, lpad((event_id % 59)::VARCHAR, 2, '0') AS s FROM events),
         l AS (SELECT event_id, {_LINES.format(_MADE)} AS ls FROM p)
         SELECT event_id, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_RE["SRT"]}'))) > 0 THEN 'srt' WHEN {_SHARE.format('[[]..:..[.]..[]]', 0.8)} THEN 'lrc'

@@ -287,7 +287,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from tessellon.sources import files
 
-    return files.null_streams(spark, 3, 8 << 20)
+    made = files.zeros(files.null_streams(spark, 3, 8 << 20))
+    return made.select("tag", "length", F.octet_length("content").cast("long").alias("bytes"), F.hex(digests.DIGESTS["MD5"](F.col("content"))).alias("md5"))
 
 
 @query("format_detect_documents")
