@@ -40,6 +40,42 @@ def _list(texts: list[str]) -> str:
     return "[" + ", ".join(f"'{t}'" for t in quoted) + "]"
 
 
+def _made(pairs: list[tuple[str, str, str]]) -> str:
+    """(path, node, key, text) of media files made from nations: pairs of node, key and text."""
+    rows = ", ".join(f"{{'node': {node}, 'key': '{key}', 'text': {text}}}" for node, key, text in pairs)
+    return f"SELECT path, r.node AS node, r.key AS key, r.text AS text FROM (SELECT n_name AS path, unnest([{rows}]) AS r FROM (SELECT n_name, n_nationkey AS k FROM nation))"
+
+
+#: What is in a file of samples.mkv_of(), by section: names alone are empty elements; @ stands for values of the file.
+_STRUCTURE = {
+    "EbmlHeader": "EbmlVersion=1 EbmlReadVersion=1 EbmlMaxIdLength=4 EbmlMaxSizeLength=8 DocTypeReadVersion=1 DocTypeVersion=4 DocType=matroska",
+    "SegmentInfo": "SegmentUId PreviousUId NextUId SegmentFilename PreviousFilename NextFilename Duration=@length Title MuxingApp WritingApp=@writer",
+    "Track": "TrackNumber=1 TrackUId=@uid TrackType=1 TrackFlags=@flags MinCache=0 MaxCache MaxBlockAdditionID=0 DefaultDuration=@frame DefaultDecodedFieldDuration TrackTimecodeScale Name=@name Language=eng CodecId CodecPrivate CodecName AttachmentLink",
+    "Video": "FrameRate ColorSpace PixelWidth=@width PixelHeight=480 AspectRatioType=0 StereoMode=0 AlphaMode=0 OldStereoMode Interlaced=0 PixelCropBottom=0 PixelCropTop=0 PixelCropLeft=0 PixelCropRight=0 DisplayWidth=@width DisplayHeight=480 DisplayUnit=0",
+}
+
+
+def _structure() -> str:
+    def lines(section: str, depth: int, *inside: str) -> list[str]:
+        pad = "  " * depth
+        own = [f"{pad}  <{n}>{v}</{n}>" if v else f"{pad}  <{n} />" for n, _, v in (x.partition("=") for x in _STRUCTURE.get(section, "").split())]
+        return [f"{pad}<{section}>", *own, *inside, f"{pad}</{section}>"]
+
+    track = lines("Track", 3, *lines("Video", 4), "        <Audio />", "        <ContentEncodings />")
+    segment = lines("Segment", 1, *lines("SegmentInfo", 2), *lines("Tracks", 2, *track), "    <Chapters />", "    <Attachments />")
+    out = _list(["\n".join(lines("File", 0, *lines("EbmlHeader", 1), *segment))]) + "[1]"
+    for mark, value in (("length", _number("(500.0::DOUBLE * k)")), ("writer", "'writer ' || k"), ("uid", "(100 + k)::VARCHAR"), ("flags", "'Enabled, Default, Lacing'"), ("frame", "(1000000 * (k + 1))::VARCHAR"), ("name", "n_name"), ("width", "(640 + k)::VARCHAR")):
+        out = f"replace({out}, '@{mark}', {value})"
+    return f"SELECT n_name AS path, CASE WHEN k % 5 = 4 THEN '<File />' ELSE {out} END AS xml FROM (SELECT n_name, n_nationkey AS k FROM nation)"
+
+
+def _span(ms: str) -> str:
+    return f"concat(printf('%02d:%02d:%02d', ({ms}) // 3600000, ({ms}) // 60000 % 60, ({ms}) // 1000 % 60), CASE WHEN ({ms}) % 1000 = 0 THEN '' ELSE printf('.%03d0000', ({ms}) % 1000) END)"
+
+
+_TOP, _VIDEO, _AUDIO = "'/MediaProvider'", "'/MediaProvider/VideoStream:' || {0}", "'/MediaProvider/AudioStream:' || {0}"
+
+
 def _number(x: str) -> str:
     return f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN {x}::BIGINT::VARCHAR ELSE upper({x}::VARCHAR) END"
 
@@ -116,6 +152,15 @@ ORACLES: dict[str, str] = {
     "format_detect_documents": _detect("documents", "doc_id", "text"),
     "format_detect_texts": _detect(f"(SELECT event_id, replace({_list(queries.TEXTS)}[(event_id % {len(queries.TEXTS)} + 1)::INT], '@', (event_id % 10)::VARCHAR) AS content FROM events)", "event_id", "content"),
     "format_detect_pages": _detect("pages", "page_id", "html"),
+    "report_structure": _structure(),
+    "mkv_parse": _made([(_TOP, "Duration", _number("(k / 2.0::DOUBLE)")), (_TOP, "WritingApp", "'writer ' || k"), *[(_VIDEO.format("(100 + k)"), key, text) for key, text in (
+        ("PixelDimensions", "(640 + k) || ', 480'"), ("SampleCount", "(k + 2)::VARCHAR"), ("StatedSampleRate", _number("(1e9::DOUBLE / (1000000 * (k + 1)))")), ("Title", "n_name"),
+        ("Bitrate", _number("((k + 2) * 10 * (k + 1) * 8 / (250 * (k + 1) / 1000.0::DOUBLE))")), ("Duration", _span("250 * (k + 1)")), ("Size", "((k + 2) * 10 * (k + 1))::VARCHAR"))]]),
+    "mp4_parse": _made([(_TOP, "Duration", _number("((500 * k + 250) / 1000.0::DOUBLE)")), *[(_VIDEO.format("(k + 1)"), key, text) for key, text in (
+        ("PixelDimensions", "(320 + k) || ', 240'"), ("ContainerCodecId", "'avc1'"), ("Id", "(k + 1)::VARCHAR"), ("Duration", _span("1000 * k + 500")), ("Language", "'eng'"))]]),
+    "ogg_parse": _made([(_AUDIO.format("(k + 1)"), key, text) for key, text in (
+        ("StatedSampleRate", "'48000'"), ("SampleCount", "(48000 * (k + 1))::VARCHAR"), ("Duration", _span("1000 * (k + 1)")), ("Title", "n_name"),
+        ("Size", "(10 * (k + 1) * (100 + k) + 30 + 29 + length(n_name))::VARCHAR"), ("Bitrate", _number("((10 * (k + 1) * (100 + k) + 30 + 29 + length(n_name)) * 8 / (k + 1)::DOUBLE)")))]),
     "multi_hash": "SELECT doc_id, upper(md5(text)) AS md5, upper(sha1(text)) AS sha1, upper(sha256(text)) AS sha2_256 FROM documents",
     "print_hashes_long": "SELECT doc_id, unnest(['MD5', 'SHA1', 'SHA2-256']) AS name, unnest(['MD5 => ' || upper(md5(text)), 'SHA1 => ' || upper(sha1(text)), 'SHA2-256 => ' || upper(sha256(text))]) AS line FROM documents",
     "base_convert": "WITH c AS (SELECT o_orderkey, " + _crc(_KEY, kernels.CRC32) + " AS n FROM orders) " + " UNION ALL ".join(f"SELECT o_orderkey, '{b}' AS base, {_digits('n', b)} AS rendered FROM c" for b in bases.ALPHABETS),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellon.functions import bases, digests, paths, render, text
 from tessellon.operators import discovery, formats, merge, stats
+from tessellon.sources import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,29 +370,38 @@ def _(spark, sf_dir):
     return formats.detect(made, "content", keep=["event_id"]).select("event_id", "suggested_ext")
 
 
-def _parsed(kind: str) -> Query:
-    """Items of a small file of a kind, through the same parser as real ones."""
+def _parsed(kind: str, keys: list[str], make: Callable) -> Query:
+    """Items of a media file for each nation, made from its row and parsed like any other file."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tessellon.operators import providers
-        from tessellon.sources import samples
 
-        made = spark.createDataFrame([(f"sample.{kind}", bytearray(getattr(samples, kind)()))], "path string, content binary")
-        return providers.items(made).select("path", "provider", "node", "ord", "key", "type", "unit", "text", F.array_join("parts", "|").alias("parts"))
+        def files(batches):
+            for b in batches:
+                yield pd.DataFrame({"path": b["n_name"], "content": [make(int(k), n) for k, n in zip(b["n_nationkey"], b["n_name"], strict=True)]})
+
+        made = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(files, "path string, content binary")
+        return providers.items(made).filter(F.col("key").isin(keys)).select("path", "node", "key", "text")
 
     return run
 
 
-for _k in ("mkv", "mp4", "ogg"):
-    QUERIES[f"{_k}_parse"] = _parsed(_k)
+QUERIES["mkv_parse"] = _parsed("mkv", ["Duration", "WritingApp", "PixelDimensions", "StatedSampleRate", "SampleCount", "Title", "Size", "Bitrate"], lambda k, n: samples.mkv_of(k, n, 640 + k, 480, [(250 * i, 10 * (k + 1)) for i in range(k + 2)]))
+QUERIES["mp4_parse"] = _parsed("mp4", ["Duration", "PixelDimensions", "Id", "ContainerCodecId", "Language"], lambda k, n: samples.mp4_of(k + 1, 320 + k, 240, 1000, 500 * k + 250))
+QUERIES["ogg_parse"] = _parsed("ogg", ["SampleCount", "Title", "StatedSampleRate", "Duration", "Size", "Bitrate"], lambda k, n: samples.ogg_of(k + 1, n, 48000, [100 + k] * (10 * (k + 1))))
 
 
 @query("report_structure")
 def _(spark, sf_dir):
+    """The structure of a Matroska file for each nation; for every fifth, of a file that is none."""
     from tessellon.operators import reports
-    from tessellon.sources import samples
 
-    made = spark.createDataFrame([("sample.mkv", bytearray(samples.mkv())), ("other", bytearray(b"abc"))], "path string, content binary")
+    def files(batches):
+        for b in batches:
+            make = lambda k, n: b"no media " * 9 if k % 5 == 4 else samples.mkv_of(k, n, 640 + k, 480, [(250 * i, 10) for i in range(k + 2)])
+            yield pd.DataFrame({"path": b["n_name"], "content": [make(int(k), n) for k, n in zip(b["n_nationkey"], b["n_name"], strict=True)]})
+
+    made = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(files, "path string, content binary")
     return reports.of_contents("Matroska", made)
 
 

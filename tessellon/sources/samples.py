@@ -65,3 +65,35 @@ def _put(n, at):
     for i, b in at:
         out[i : i + len(b)] = b
     return bytes(out)
+
+
+def mkv_of(number, title, width, height, blocks):
+    """A Matroska file of one video track; blocks: (milliseconds, bytes), in clusters of a second."""
+    text = lambda i, s: ebml(i, s.encode())
+    header = ebml(0x1A45DFA3, text(0x4282, "matroska") + uint(0x4287, 4))
+    info = ebml(0x1549A966, uint(0x2AD7B1, 1_000_000) + ebml(0x4489, struct.pack(">d", 500.0 * number)) + text(0x5741, f"writer {number}"))
+    video = ebml(0xE0, uint(0xB0, width) + uint(0xBA, height))
+    track = ebml(0xAE, uint(0xD7, 1) + uint(0x73C5, 100 + number) + uint(0x83, 1) + text(0x536E, title) + uint(0x23E383, 1_000_000 * (number + 1)) + video)
+    clusters = b""
+    for second in sorted({at // 1000 for at, _ in blocks}):
+        own = b"".join(ebml(0xA3, b"\x81" + struct.pack(">HB", at % 1000, 0x80) + bytes(n)) for at, n in blocks if at // 1000 == second)
+        clusters += ebml(0x1F43B675, uint(0xE7, 1000 * second) + own)
+    return header + ebml(0x18538067, info + ebml(0x1654AE6B, track) + clusters + ebml(0xEC, bytes(4000)))
+
+
+def mp4_of(number, width, height, scale, length):
+    """An MP4 file of one video track with the number as its id."""
+    mvhd = _put(100, ((12, struct.pack(">II", scale, length)),))
+    tkhd = _put(84, ((12, struct.pack(">I", number)), (76, struct.pack(">II", width << 16, height << 16))))
+    mdhd = _put(24, ((12, struct.pack(">II", scale, 2 * length)), (20, struct.pack(">H", (5 << 10) | (14 << 5) | 7))))
+    stsd = struct.pack(">II", 0, 1) + box(b"avc1", _put(78, ((24, struct.pack(">HH", width, height)),)))
+    mdia = box(b"mdia", box(b"mdhd", mdhd) + box(b"hdlr", _put(24, ((8, b"vide"),))) + box(b"minf", box(b"stbl", box(b"stsd", stsd))))
+    return box(b"ftyp", b"isom\0\0\x02\0isom") + box(b"moov", box(b"mvhd", mvhd) + box(b"trak", box(b"tkhd", tkhd) + mdia))
+
+
+def ogg_of(number, title, rate, packets):
+    """An Ogg file of one Vorbis stream; packets: bytes, a tenth of a second each."""
+    ident = b"\x01vorbis" + struct.pack("<IBI", 0, 2, rate) + bytes(14)
+    said = [f"TITLE={title}".encode()]
+    notes = b"\x03vorbis" + struct.pack("<I", 4) + b"made" + struct.pack("<I", 1) + b"".join(struct.pack("<I", len(c)) + c for c in said)
+    return page(number, 0, 2, 0, ident) + page(number, 1, 0, 0, notes) + b"".join(page(number, 2 + i, 0, (i + 1) * rate // 10, bytes(n)) for i, n in enumerate(packets))
