@@ -153,6 +153,14 @@ ORACLES: dict[str, str] = {
     "format_detect_texts": _detect(f"(SELECT event_id, replace({_list(queries.TEXTS)}[(event_id % {len(queries.TEXTS)} + 1)::INT], '@', (event_id % 10)::VARCHAR) AS content FROM events)", "event_id", "content"),
     "format_detect_pages": _detect("pages", "page_id", "html"),
     "report_structure": _structure(),
+    "text_decode": "SELECT doc_id, text AS decoded FROM documents",
+    "text_numbers": """SELECT p_partkey, regexp_replace(p_name, '[^0-9.\\-]', '', 'g') AS digits, 'ca. ' || p_retailprice || ' fps ' AS first, CASE WHEN p_partkey % 3 <> 0 AND p_size <> 0 THEN p_size::VARCHAR END AS non_default FROM part""",
+    "time_parse": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ((event_id % 24 * 3600 + event_id % 60 * 60 + event_id % 59) * 1000 + event_id % 1000) * 1000000 ELSE -1 END AS ns,
+        CASE WHEN event_id % 5 <> 0 THEN (event_id % 10 * 3600 + event_id % 60 * 60 + event_id % 59) * 1000 + event_id % 100 * 10 ELSE -1 END AS ms FROM events""",
+    "fmt_dhms": "SELECT event_id, printf('%d.%02d:%02d:%02d', s // 86400, s // 3600 % 24, s // 60 % 60, s % 60) AS rendered FROM (SELECT event_id, greatest(event_id * 7919 % 400000 - 1000, 0) AS s FROM events)",
+    "xml_escape": "SELECT page_id, md5(t) AS text_md5, md5(replace(t, '\"', '&quot;')) AS attribute_md5 FROM (SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM pages)",
+    "personal_hash": "SELECT c_nationkey AS nation, count(DISTINCT c_name) AS values, 128::BIGINT AS digits FROM customer GROUP BY 1",
+    "provider_condense": """SELECT source, lang AS root_type, CASE WHEN bool_or(EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) THEN 'labelled,all' ELSE 'all' END AS providers FROM documents d GROUP BY 1, 2""",
     "mkv_parse": _made([(_TOP, "Duration", _number("(k / 2.0::DOUBLE)")), (_TOP, "WritingApp", "'writer ' || k"), *[(_VIDEO.format("(100 + k)"), key, text) for key, text in (
         ("PixelDimensions", "(640 + k) || ', 480'"), ("SampleCount", "(k + 2)::VARCHAR"), ("StatedSampleRate", _number("(1e9::DOUBLE / (1000000 * (k + 1)))")), ("Title", "n_name"),
         ("Bitrate", _number("((k + 2) * 10 * (k + 1) * 8 / (250 * (k + 1) / 1000.0::DOUBLE))")), ("Duration", _span("250 * (k + 1)")), ("Size", "((k + 2) * 10 * (k + 1))::VARCHAR"))]]),

@@ -411,3 +411,57 @@ def _(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.length("props").alias("n"), F.lit(60.0).alias("s"))
     out = stats.averages(rows, ["user_id"], ["ts", "event_id"], "n", "s", bucket=F.date_trunc("day", F.col("ts").cast("timestamp")))
     return out.select("user_id", *[F.round(f"average_{m}", 9).alias(f"average_{m}") for m in (1, 5, 15)])
+
+
+@query("text_decode")
+def _(spark, sf_dir):
+    """Whole texts written as bytes in four ways, with and without a byte-order mark, and read again."""
+    t, way = F.col("text"), F.col("doc_id") % 4
+    marked = lambda mark, c: F.concat(F.lit(mark), c)
+    raw = F.when(way == 0, t.cast("binary")).when(way == 1, marked(b"\xef\xbb\xbf", t.cast("binary"))).when(way == 2, marked(b"\xff\xfe", F.encode(t, "UTF-16LE"))).otherwise(marked(b"\xfe\xff", F.encode(t, "UTF-16BE")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.decoded(text.head(raw)).alias("decoded"))
+
+
+@query("text_numbers")
+def _(spark, sf_dir):
+    said = F.concat(F.lit("ca. "), F.col("p_retailprice").cast("string"), F.lit(" fps / "), F.col("p_size").cast("string"), F.lit("|x"))
+    zero = F.when(F.col("p_partkey") % 3 == 0, "0.000,0").otherwise(F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.digits_only(F.col("p_name")).alias("digits"), text.first_part(said).alias("first"), text.non_default(zero).alias("non_default"))
+
+
+@query("time_parse")
+def _(spark, sf_dir):
+    """Times of chapters and of scripts; -1 for malformed ones."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    i = F.col("event_id")
+    chapter = F.concat_ws(":", two(i % 24), two(i % 60), F.when(i % 7 == 0, "9").otherwise(F.concat(two(i % 59), F.lit("."), F.lpad((i % 1000).cast("string"), 3, "0"))))
+    script = F.concat_ws(":", (i % 10).cast("string"), two(i % 60), F.when(i % 5 != 0, F.concat(two(i % 59), F.lit("."), two(i % 100))))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(text.timestamp_ns(chapter), F.lit(-1)).alias("ns"), F.coalesce(text.ass_time_ms(script), F.lit(-1)).alias("ms"))
+
+
+@query("fmt_dhms")
+def _(spark, sf_dir):
+    seconds = (F.col("event_id") * 7919 % 400000 - 1000).cast("double") + 0.5
+    return table(spark, sf_dir, "events").select("event_id", render.format_dhms(seconds).alias("rendered"))
+
+
+@query("xml_escape")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(render.xml_text(F.col("html"))).alias("text_md5"), F.md5(render.xml_attribute(F.col("html"))).alias("attribute_md5"))
+
+
+@query("personal_hash")
+def _(spark, sf_dir):
+    """Personal values hidden behind a salted hash: the same value, the same hash. SQL has no SHA-512; how many differ, it can tell."""
+    hidden = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), render.sensitive("salt", F.col("c_name")).alias("h"))
+    return hidden.groupBy("nation").agg(F.countDistinct("h").alias("values"), F.min(F.length("h")).cast("long").alias("digits"))
+
+
+@query("provider_condense")
+def _(spark, sf_dir):
+    """Which tables share a language among a source's documents, in the order in which they come."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    both = merge.unite([("labelled", known.select("source", F.col("lang").alias("root_type"))), ("all", docs.select("source", F.col("lang").alias("root_type")))])
+    out = merge.condensed(both, ["source"])
+    return out.select("source", "root_type", F.array_join("providers", ",").alias("providers"))
