@@ -45,15 +45,19 @@ def _bytes(size: str) -> int:
 @contextmanager
 def small_batches(spark: SparkSession, most: int = BATCH) -> Iterator[None]:
     """Within it, Arrow batches have `most` bytes at most; then the session has its own setting again."""
-    old = spark.conf.get(_BATCH_KEY, None)
-    if old is None or _bytes(old) <= most:
+    named = spark.conf.get(_BATCH_KEY, None)  # None where the session only has the default
+    try:
+        now = named or spark.conf.get(_BATCH_KEY)
+    except Exception:  # a Spark without this setting
+        now = str(most)
+    if _bytes(now) <= most:
         yield
         return
     spark.conf.set(_BATCH_KEY, str(most))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_KEY, old)
+        spark.conf.unset(_BATCH_KEY) if named is None else spark.conf.set(_BATCH_KEY, named)
 
 
 def _tables() -> list[str]:

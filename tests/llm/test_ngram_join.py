@@ -115,3 +115,24 @@ def test_without_drops_exactly_the_given_ids(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i in range(500) if i % 7]
     assert kept.filter("doc_id IS NULL").count() == 1
     assert ngram_join.without(docs, gone.limit(0)).count() == 502
+
+
+def test_shared_signatures_are_those_of_two_different_sets(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.choice([1, 6, 12]))) for _ in range(300)]
+    texts += texts[:40]  # equal sets
+    rows = list(enumerate(texts))
+    plan = [ngram_join.allocate(b, {b.low: 50, b.high: 50})[1] for b in ngram_join.bands(40, 80)]
+    signer = ngram_join.Signer(plan)
+    value, bounds = ngram_join.token_sets(texts, 1)
+    sig, doc = signer.sign(value, bounds)
+    owners = {}
+    for s, d in zip(sig.tolist(), doc.tolist(), strict=True):
+        owners.setdefault(s, set()).add(frozenset(value[bounds[d] : bounds[d + 1]].tolist()))
+    sets = {}
+    for d in range(len(texts)):
+        sets.setdefault(frozenset(value[bounds[d] : bounds[d + 1]].tolist()), []).append(d)
+    alike = spark.createDataFrame([(d,) for ids in sets.values() if len(ids) > 1 for d in ids], "id long")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.sig for r in ngram_join.shared_signatures(df, signer, ngram_join.Bitmap(alike, "id"), 1, "doc_id", "text").collect()}
+    assert got == {s for s, o in owners.items() if len(o) > 1}
