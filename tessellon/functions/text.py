@@ -28,7 +28,7 @@ def head(content: Column) -> Column:
 
 def read_lines(text: Column, longest: int = LONGEST_LINE) -> Column:
     """Non-empty lines, ended by CR or LF, up to the first that is longer than `longest`."""
-    lines = F.array_remove(F.split(text, "[\r\n]"), "")
+    lines = F.array_remove(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), "")  # one character is split without a pattern
     too_long = F.array_position(F.transform(lines, lambda x: F.length(x) > longest), True)
     return F.when(too_long == 0, lines).otherwise(F.slice(lines, F.lit(1), (too_long - 1).cast("int")))
 
