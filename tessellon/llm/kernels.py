@@ -37,6 +37,8 @@ class Remembered:
 
     def keep(self, new: dict[str, bytes]) -> bool:
         """Whether all of it is kept, or none."""
+        if self.room < ENTRY * len(new):
+            return False
         size = sum(ENTRY + 2 * len(k) + len(v) for k, v in new.items())
         if size > self.room:
             return False

@@ -77,6 +77,13 @@ def cut_at_blanks(spec: bytes) -> bool:
     )
 
 
+def _lean(spec: bytes) -> str:
+    """The tokenizer for words that are letters in lower case, or a bar, already: blanks part them, and nothing is left to normalise."""
+    rules = json.loads(spec)
+    rules |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rules["pre_tokenizer"]["pretokenizers"][1]]}}
+    return json.dumps(rules)
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizers file, with the ids of white-space separated words remembered."""
 
@@ -89,16 +96,17 @@ class WordEncoder:
         self.marks = dict(zip(",.;:!?", self._whole(list(",.;:!?")), strict=True))
         bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        self.lean = Tokenizer.from_str(_lean(spec)) if self.by_words else self.tokenizer
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, words: list[str]) -> list[bytes]:
+    def _many(self, words: list[str], tokenizer) -> list[bytes]:
         """The ids of each word, from texts of some words each with bars between, which only a bar gives."""
         if self.bar is None or len(words) < 2:
             return self._whole(words)
         out: list[bytes] = []
-        for e in self.tokenizer.encode_batch_fast([" | ".join(words[i : i + 128]) for i in range(0, len(words), 128)], add_special_tokens=False):
+        for e in tokenizer.encode_batch_fast([" | ".join(words[i : i + 128]) for i in range(0, len(words), 128)], add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             ends, raw = (4 * np.flatnonzero(ids == self.bar)).tolist(), ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
@@ -119,10 +127,10 @@ class WordEncoder:
                 other.append(w)
         letters = self.letters.data
         new = list({b for b, _ in split.values()}.difference(letters))
-        ids = dict(zip(new, self._many(new), strict=True))
+        ids = dict(zip(new, self._many(new, self.lean), strict=True))
         out = {w: (ids[b] if b in ids else letters[b]) + m for w, (b, m) in split.items()}
         self.letters.keep(ids)
-        out.update(zip(other, self._many(other), strict=True))
+        out.update(zip(other, self._many(other, self.tokenizer), strict=True))
         out.update(zip(barred, self._whole(barred), strict=True))
         return out
 
