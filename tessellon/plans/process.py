@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ PARSERS = {"MP4": "MP4Provider", "MKV": "MatroskaProvider", "OGG": "OggProvider"
 #: Bytes of a file that parsers and structure reports get; larger files are parsed up to there.
 PARSED = 1 << 30
 TRIES = 3
+#: What is computed where no consumers are named.
+DEFAULT = ["CRC32", "MD5", "SHA1"]
 
 
 @dataclass
@@ -52,11 +55,17 @@ class Done:
     files: int = 0
     bytes: int = 0
     failed: int = 0
+    seconds: float = 0.0
+    consumers: dict[str, int] = field(default_factory=dict)  # bytes that each has taken
+
+    def summary(self) -> str:
+        rate = self.bytes / (1 << 20) / self.seconds if self.seconds else 0.0
+        return f"{self.files}/{self.files + self.failed} Files | {self.bytes / (1 << 20):.0f} MiB | {rate:.1f} MiB/s"
 
 
 def _wanted(settings: Settings) -> tuple[list[str], list[str], list[str]]:
     """(digests, providers, folders to copy to) that the consumers ask for."""
-    wanted = settings.consumers or ["CRC32", "MD5", "SHA1"]
+    wanted = settings.consumers or DEFAULT
     names = [c for c in wanted if c.upper() not in PARSERS and not c.upper().startswith("CPY")]
     if settings.crc32_error and "CRC32" not in [h.upper() for h in names]:
         names.append("CRC32")
@@ -264,7 +273,7 @@ def execute(spark: SparkSession, entries: list[str], settings: Settings, folder:
     folder: where the run's table is stored, in a store that all executors share. Report, log and error folders are paths
     that the driver and, for reports, the executors share. Lines for the terminal are returned.
     """
-    done = Done(None)
+    done, began = Done(None), time.monotonic()
     if problem := _problem(settings):
         done.lines.append(problem)
         return done
@@ -305,5 +314,7 @@ def execute(spark: SparkSession, entries: list[str], settings: Settings, folder:
         good = good.join(moved.filter("error IS NOT NULL").select("path"), "path", "left_anti")
     for log in settings.logs()[1]:
         sinks.append_lines(log, _lines(good))
-    done.lines.append(f"{done.files}/{done.files + done.failed} Files | {done.bytes / (1 << 20):.0f} MiB")
+    done.consumers = {c: done.bytes for c in settings.consumers or DEFAULT}
+    done.seconds = time.monotonic() - began
+    done.lines.append(done.summary())
     return done

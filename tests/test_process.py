@@ -99,6 +99,7 @@ def test_a_whole_run(spark, tree, tmp_path_factory):
     for log in ("done.log", "seen.log"):
         assert len(open(f"{out}/{log}").read().splitlines()) == 7
     assert open(f"{out}/copies/a.mkv", "rb").read() == media.mkv() and len([x for x in os.listdir(f"{out}/copies") if not x.startswith(".")]) == 7
+    assert done.consumers["MD5"] == done.bytes > 0 and done.lines[-1].startswith("7/7 Files | ") and done.lines[-1].endswith(" MiB/s")
     again = process.execute(spark, [tree], Settings(recursive=True, consumers=["CRC32"], done_log_path=f"{out}/done.log"), work)
     assert again.files == 0
 
