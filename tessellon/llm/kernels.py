@@ -54,6 +54,15 @@ def forget(owner: str) -> None:
             drop()
 
 
+def give_back() -> None:
+    """Give freed memory back to the system, which a process that lives for long otherwise keeps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def trimmed(run, owner: str = ""):
     """A function of batches that first forgets what other operators remember in this worker and, once it is through the batches,
     gives freed memory back to the system: workers wait for long."""
@@ -63,11 +72,7 @@ def trimmed(run, owner: str = ""):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            give_back()
 
     return wrapped
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import threading
@@ -12,6 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessellon.llm import kernels
+
 #: In each thread, the tables that it has made and that are still there.
 _HERE = threading.local()
 _OWN: list[str] = []
@@ -95,6 +98,8 @@ def release(spark: SparkSession, *kept: DataFrame, only: list[str]) -> None:
         if path in only and path.rsplit("/tessellon-", 1)[1] not in read:
             _tables().remove(path)
             _delete(spark, path)
+    gc.collect()
+    kernels.give_back()  # bitmaps and samples that the driver no longer needs
 
 
 def release_since(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
