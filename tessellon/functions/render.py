@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 STEREO_MODES = {0: "Mono", 1: "LeftRight", 2: "TopBottom", 3: "Checkboard", 4: "RowInterleaved", 5: "ColumnInterleaved", 6: "FrameAlternating", 7: "AnaGlyph", 8: "CyanRed", 9: "GreenMagenta", 30: "Reversed", 31: "Other"}
 
 
-def format_double(x: Column) -> Column:
-    """Whole numbers without a point up to 1e15; tiny and huge ones as 1.5E-07; otherwise the shortest decimal."""
+def format_double(x: Column, huge: float = 1e15) -> Column:
+    """Whole numbers without a point up to 1e15; tiny ones and those from huge on as 1.5E-07; otherwise the shortest decimal.
+
+    With a huge above 1e15, whole numbers from 1e15 on have the fraction .0.
+    """
     text = x.cast("string")
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
     scientific = F.concat(mantissa, F.when(power < 0, "E-").otherwise("E+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
     sign, digits = F.when(x < 0, "-").otherwise(""), F.regexp_replace(mantissa, r"[-.]", "")
-    moved = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    long = F.rpad(digits, F.greatest(F.length(digits), power + 2), F.lit("0"))
+    moved = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(F.substring(long, F.lit(1), power + 1), F.lit("."), F.substring(long, power + 2, F.length(long))))
     plain = F.when(text.contains("E"), F.concat(sign, moved)).otherwise(text)
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Infinity")
         .when(x == float("-inf"), "-Infinity")
         .when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string"))
-        .when(F.abs(x) >= 1e15, scientific)
+        .when(F.abs(x) >= huge, scientific)
         .when(F.abs(x) < 1e-4, scientific)
         .otherwise(plain)
     )

@@ -233,10 +233,10 @@ def _(spark, sf_dir):
 
 @query("fmt_f64")
 def _(spark, sf_dir):
-    """The value, and a number of up to seventeen digits, some of them tiny or huge."""
+    """The value, and a number of up to seventeen digits, some of them tiny or huge; powers from 1e16 on, as in its SQL."""
     i = F.col("event_id").cast("double")
     full = F.element_at(F.array(i / 1048576, -i / 3e9, i * 12345.0625, F.lit(0.000123456789012345) + i / 64, i * 1e9 + 0.25, (i + 1) / 1e7), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", render.format_double(F.col("value")).alias("rendered"), render.format_double(full).alias("full_digits"))
+    return table(spark, sf_dir, "events").select("event_id", render.format_double(F.col("value"), huge=1e16).alias("rendered"), render.format_double(full, huge=1e16).alias("full_digits"))
 
 
 @query("fmt_timespan")
