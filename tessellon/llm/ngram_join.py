@@ -16,8 +16,9 @@ another. A set with more leaves nothing out, so two of them meet in light ones t
 Signatures are made twice: first without ids, to find those that different sets share, then with ids, but only of those, told
 by a bitmap of bounded size (where it fills up, more rows are shuffled, no fewer results come). The first time they are
 shuffled in blobs by ranges, five bytes each; only sets that a bitmap says may have equals bring their hash along. Candidates are narrowed by
-a 512-bit parity map (its Hamming distance is at most the sets' difference) and verified on the whole sets of 64-bit
-shingle hashes. Links are explored by components, never by all pairs of a group: equal sets count as one; in some rounds,
+a 512-bit parity map (its Hamming distance is at most the sets' difference), then, as that is full for large sets, by maps with
+at least a bit a shingle; those left are verified on the whole sets of 64-bit shingle hashes, so that these are stored and
+shuffled for pairs that link or nearly do, not for each chance pair, whose number grows with the square of the corpus. Links are explored by components, never by all pairs of a group: equal sets count as one; in some rounds,
 each set is tried against a set of the first component of a signature, which links most copies; then all pairs from
 different components that share a signature are tried, which is every pair that can still join two.
 
@@ -198,8 +199,33 @@ def parity_maps(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 MAPS = [f"b{i}" for i in range(LONGS)]
 
 
+def wide_maps(value: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A parity map of each set with more than 64 * LONGS shingles, in the least power of two of bits that has one for each; else none."""
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a <= 64 * LONGS:
+            out.append(b"")
+            continue
+        bits = 1 << int(b - a - 1).bit_length()
+        at = (kernels.mix(value[a:b] + np.uint64(78)) >> np.uint64(24)).astype(np.int64) & (bits - 1)
+        out.append(np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets from their wide maps; the larger is folded to the bits of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return 0
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+
+
 def summaries(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, s1, s2, b0..): size, 128-bit hash and parity map of every set; no shuffle."""
+    """(id, n, s1, s2, b0.., wide): size, 128-bit hash and parity maps of every set; no shuffle."""
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = ["id", "n", "s1", "s2", *MAPS]
 
@@ -210,9 +236,10 @@ def summaries(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
                 value, bounds = token_sets(part.column(1), k)
                 s1, s2 = (_sums(kernels.mix(value + np.uint64(i)), bounds).view(np.int64) for i in (5, 6))
                 maps = parity_maps(value, bounds)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (np.diff(bounds), s1, s2, *maps.T))], names=names)
+                wide = pa.array(wide_maps(value, bounds), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (np.diff(bounds), s1, s2, *maps.T)), wide], names=[*names, "wide"])
 
-    return small.mapInArrow(kernels.trimmed(run), ", ".join(f"{c} long" for c in names))
+    return small.mapInArrow(kernels.trimmed(run), ", ".join(f"{c} long" for c in names) + ", wide binary")
 
 
 #: A bitmap has at most 2**BITS bits.
@@ -373,8 +400,28 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (apart <= room) & (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= room)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(u, v) of the stored pairs (u, v) that link. Only the sets of their documents are shuffled."""
+def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the stored pairs (u, v) that sizes and wide maps leave room for a link; no linked pair is lost."""
+    sets = info.filter("n > 0 AND id IS NOT NULL")
+    u, v = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            room = (n + m) * (100 - percent) // (100 + percent)
+            keep = np.abs(n - m) <= room
+            for i in np.flatnonzero(keep):
+                keep[i] = wide_apart(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= room[i]
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    both = pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "wu", "wv")
+    return both.mapInArrow(kernels.trimmed(run), "u long, v long").distinct()  # an id may have several sets
+
+
+def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v) of the stored pairs (u, v) that link. Only the sets of documents in plausible pairs are shuffled."""
+    pairs = materialize(plausible(pairs, info, percent), "plausible")
     wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "wanted")
     some = Bitmap(wanted, "id")
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
@@ -450,7 +497,7 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
         near = pairs.join(maps.alias("a"), F.col("u") == F.col("a.id")).join(maps.alias("b"), F.col("v") == F.col("b.id")).filter(_may_link("a", "b", percent))
         best = near.groupBy("of").agg(F.max(F.struct("votes", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
         best = materialize(best, "pairs")
-        links = materialize(verified(best, docs, *where), "links")
+        links = materialize(verified(best, info, docs, *where), "links")
         tried = best if tried is None else tried.union(best)
         if links.isEmpty():
             break
@@ -468,7 +515,7 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
     cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     if tried is not None:
         cross = cross.join(tried, ["u", "v"], "left_anti")
-    links = verified(materialize(cross, "cross"), docs, *where)
+    links = verified(materialize(cross, "cross"), info, docs, *where)
     final = components(edges.union(materialize(links, "links")))
 
     labels = classes.select(*key, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
